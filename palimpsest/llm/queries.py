@@ -9,10 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_model, quality_rules, simhash
+from . import mixing, packing, quality_model, quality_rules, simhash, spans
 from .common import read_table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = spans.dedup(rows)
+    # a column of plain values: the character spans that went, as start-end
+    shown = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"], r["end"])), " ")
+    return out.select("doc_id", "text", "n_sentences", "n_removed", shown.alias("removed"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +54,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
