@@ -50,9 +50,13 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(self.path(name))
+        self.expire(name)
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def expire(self, name: str) -> None:
+        """Delete what was written under ``name`` when the session ends."""
         path, fs = self._fs(name)
         fs.deleteOnExit(path)
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         for name in names:

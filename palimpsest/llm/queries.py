@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_model, quality_rules, simhash, spans
-from .common import read_table
+from . import mixing, packing, quality_model, quality_rules, simhash, spans, token_files
+from .common import Scratch, read_table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,14 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "token-files")
+    folder = scratch.path("data")
+    token_files.write_tokens(read_table(spark, sf_dir, "documents"), folder)
+    scratch.expire("data")
+    return token_files.read_tokens(spark, folder, with_ids=False)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
 
@@ -58,6 +66,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_token_files": op7_token_files,
     "op9_source_mixing": op9_source_mixing,
     "op10_quality_classifier": op10_quality_classifier,
 }
