@@ -12,12 +12,14 @@ encoding each whole text.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 #: Unicode white space, written out: Python's ``\s`` knows four more characters.
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = re.compile(rf"(?<=[^{WS}])\n(?=[^{WS}])|[{WS}]*[^\W\d_]+(?=[{WS}.,;:!?]|\Z)|[{WS}]*[^{WS}]+|[{WS}]+")
 #: Pieces kept between batches and their longest length.
-CACHE, LONGEST = 400_000, 64
+CACHE, LONGEST = 1_000_000, 32
 #: Text bytes that are encoded at once, if no single text is longer.
 GROUP = 24 << 20
 
@@ -42,11 +44,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model, self.limit, self.cache = self.tokenizer.model, cache, {}
         self.table = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.numbers = list(range(self.tokenizer.get_vocab_size()))  # one object for each id
+        self.written = [k.to_bytes(4, sys.byteorder) for k in range(self.tokenizer.get_vocab_size())]
         #: Whether words' case and the spaces before them don't matter.
         self.folds = self.tokenizer.normalizer is not None
 
-    def _encode(self, piece: str) -> list[int]:
+    def _encode(self, piece: str) -> bytes:
         word = piece[1:] if piece[:1] == " " else piece
         if word.isalpha() and max(word) <= "\xff":  # one pre-token of Latin-1 letters: only the merges are left
             if self.folds:
@@ -54,11 +56,11 @@ class Encoder:
             shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
             if word is not piece and not self.folds:
                 shown = "\u0120" + shown
-            numbers = self.numbers
-            return [numbers[t.id] for t in self.model.tokenize(shown)]
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+            written = self.written
+            return b"".join([written[t.id] for t in self.model.tokenize(shown)])
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def _ids(self, piece: str) -> list[int]:
+    def _ids(self, piece: str) -> bytes:
         found = self.cache.get(piece)
         if found is None:
             found = self._encode(piece)
@@ -66,14 +68,14 @@ class Encoder:
                 self.cache[piece] = found
         return found
 
-    def _chunk(self, chunk: str) -> list[int]:
+    def _chunk(self, chunk: str) -> bytes:
         found = self.cache.get(chunk)
         if found is not None:
             return found
         parts = _PIECES.findall(chunk)
         if len(parts) == 1:
             return self._ids(chunk)
-        return [i for p in parts for i in self._ids(p)]
+        return b"".join([self._ids(p) for p in parts])
 
     def encode(self, texts):
         """(ids of all texts one after another, number of ids of each) of an Arrow string array without nulls."""
@@ -99,7 +101,7 @@ class Encoder:
         # a word with one mark after it is looked up as the word and the mark
         cut = pc.extract_regex(words, r"^(?P<word>\pL+)(?P<mark>[.,;:!?])$")
         bare, mark = cut.field("word").dictionary_encode(), cut.field("mark").to_pylist()  # empty without a match
-        bases = [self._ids(space + w) if w else [] for w in bare.dictionary.to_pylist()]
+        bases = [self._ids(space + w) if w else b"" for w in bare.dictionary.to_pylist()]
         which = bare.indices.to_pylist()
         marks = {m: self._ids(m) for m in ".,;:!?"}
         words = words.to_pylist()
@@ -107,9 +109,9 @@ class Encoder:
         if not self.folds:
             starts, back = np.unique(at[first[:-1]], return_inverse=True)  # no space comes before a text's first word
             at[first[:-1]] = len(lists) + back
-            lists += [self._chunk(words[k]) if words[k] else [] for k in starts]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
+            lists += [self._chunk(words[k]) if words[k] else b"" for k in starts]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) >> 2
+        flat = np.frombuffer(b"".join(lists), np.uint32)
         place = np.cumsum(sizes) - sizes
         each = sizes[at]
         upto = np.concatenate([[0], np.cumsum(each)])
@@ -120,7 +122,7 @@ class Encoder:
             for k in np.nonzero(odd)[0]:  # the empty stand-ins gave nothing, or one space
                 text = texts[int(k)].as_py()
                 whole = self.folds and dotted[k]
-                own = self.tokenizer.encode(text, add_special_tokens=False).ids if whole else self._chunk(text)
+                own = self.tokenizer.encode(text, add_special_tokens=False).ids if whole else np.frombuffer(self._chunk(text), np.uint32)
                 parts += [ids[last : ends[k] - counts[k]], np.array(own, np.uint32)]
                 last, counts[k] = ends[k], len(own)
             ids = np.concatenate([*parts, ids[last:]])
