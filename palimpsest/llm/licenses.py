@@ -234,7 +234,15 @@ def background_sample(docs: DataFrame) -> list[str]:
     lines = rows.select(F.explode(F.split("text", "\n")).alias("line")).filter(
         ~F.col("line").rlike(r"(?i)licen[cs]|copyright|permission|warrant|public domain|all rights") & (F.length("line") > 20)
     )
-    return sorted(r["line"] for r in lines.select(F.substring("line", 1, 2000).alias("line")).orderBy(F.xxhash64("line")).limit(BACKGROUND).collect())
+    rows = lines.select(F.substring("line", 1, 2000).alias("line")).orderBy(F.xxhash64("line")).limit(BACKGROUND).collect()
+    known = [set(grams_of(t)) for ts in TEMPLATES.values() for t in ts]
+
+    def strange(line: str) -> bool:
+        """Whether the line has less than a third of its n-grams from any one template."""
+        own = set(grams_of(line))
+        return all(3 * len(own & t) < len(own) for t in known)
+
+    return sorted(x for x in (r["line"] for r in rows) if strange(x))
 
 
 def scan_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
