@@ -93,12 +93,12 @@ class RuleEnsemble:
 
     @classmethod
     def fit(cls, names, x, y) -> "RuleEnsemble":
-        """Without rows of both classes the score is the share of label 1, or one half."""
-        if not len(x) or y.min() == y.max():
+        """Without rows of both classes, or with too few to split, the score is the share of label 1, or one half."""
+        weight = np.ones(len(x))
+        paths = boosted_paths(x, y, weight) if len(x) and y.min() != y.max() else []
+        if not paths:
             share = float(np.clip(y.mean() if len(x) else 0.5, 0.01, 0.99))
             return cls(names, float(np.log(share / (1 - share))), [])
-        weight = np.ones(len(x))
-        paths = boosted_paths(x, y, weight)
         z = np.column_stack([_covers(p, x) for p in paths]).astype(float)
         bias, beta = lasso(z, y.astype(float), weight)
         return cls(names, bias, [(float(b), p) for b, p in zip(beta, paths, strict=True) if abs(b) > 1e-6])
