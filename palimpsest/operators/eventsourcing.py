@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BY_AGGREGATE = Window.partitionBy("aggregate_id").orderBy("sequence")
+def by_aggregate():
+    return Window.partitionBy("aggregate_id").orderBy("sequence")
 
 
 class ConcurrencyError(RuntimeError):
@@ -17,7 +18,7 @@ class ConcurrencyError(RuntimeError):
 
 def with_versions(events: DataFrame) -> DataFrame:
     """Each aggregate's events numbered from 1 in order of sequence."""
-    return events.withColumn("version", F.row_number().over(BY_AGGREGATE))
+    return events.withColumn("version", F.row_number().over(by_aggregate()))
 
 
 def aggregate_versions(events: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def fold_last(events: DataFrame, columns: list[str]) -> DataFrame:
 
 def running(events: DataFrame, delta: Column, name: str = "balance") -> DataFrame:
     """The state after each event."""
-    return with_versions(events).withColumn(name, F.sum(delta).over(BY_AGGREGATE.rowsBetween(Window.unboundedPreceding, 0)))
+    return with_versions(events).withColumn(name, F.sum(delta).over(by_aggregate().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def fold(events: DataFrame, step: Callable[[dict, dict], dict], initial: dict, schema: str) -> DataFrame:
@@ -129,7 +130,7 @@ def check_transitions(events: DataFrame, status: str, allowed=ORDER_TRANSITIONS)
     """Each event with its aggregate's previous status and whether the change is allowed."""
     spark = events.sparkSession
     table = spark.createDataFrame(list(allowed), "_from string, _to string").withColumn("legal", F.lit(True))
-    rows = events.withColumn("previous", F.lag(status).over(BY_AGGREGATE))
+    rows = events.withColumn("previous", F.lag(status).over(by_aggregate()))
     hit = F.col("previous").eqNullSafe(F.col("_from")) & (F.col(status) == F.col("_to"))
     out = rows.join(F.broadcast(table), hit, "left").drop("_from", "_to")
     return out.withColumn("legal", F.coalesce("legal", F.lit(False)))

@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 from ..functions.intervals import interval
 from ..schema import DATA, TOMBSTONE
 
-BY_KEY = Window.partitionBy("key").orderBy("sequence")
+def by_key():
+    return Window.partitionBy("key").orderBy("sequence")
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def with_validity(records: DataFrame) -> DataFrame:
     return records.withColumns(
         {
             "valid_from": F.col("ts"),
-            "valid_to": F.lead("ts").over(BY_KEY),
+            "valid_to": F.lead("ts").over(by_key()),
             "is_deleted": F.col("record_type") == TOMBSTONE,
         }
     )
