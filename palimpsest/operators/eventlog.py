@@ -6,6 +6,7 @@ takes the next events at or after a position.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -57,6 +58,16 @@ def produce(rows: DataFrame, topic: Topic) -> DataFrame:
     return rows.withColumns({"topic": F.lit(topic.name), "partition": part})
 
 
+def produce_batch(spark, items: list, topic: Topic, next_sequence: int, key: str | None = None) -> DataFrame:
+    """Events of a list: an item with ``value`` may bring key, headers and partition; any other item is the value."""
+    rows = []
+    for n, item in enumerate(items):
+        own = item if isinstance(item, dict) and "value" in item else {"value": item}
+        rows.append((own.get("key", key), json.dumps(own["value"], default=str), next_sequence + n, own.get("headers"), own.get("partition")))
+    schema = "key string, value string, sequence long, headers map<string,string>, partition int"
+    return produce(spark.createDataFrame(rows, schema), topic)
+
+
 def fetch(log: DataFrame, topic: str, partition: int, offset: int, max_events: int = 100) -> DataFrame:
     """The next ``max_events`` events at or after an offset."""
     own = (F.col("topic") == topic) & (F.col("partition") == partition) & (F.col("sequence") >= offset)

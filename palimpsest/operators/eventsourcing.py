@@ -144,3 +144,20 @@ def handle_commands(commands: DataFrame, states: DataFrame, rules: Mapping[str,
         ok = F.when(F.col("command_type") == kind, F.coalesce(rule, F.lit(False))).otherwise(ok)
     error = F.when(~known, "unknown command").when(~ok, "rejected")
     return joined.withColumns({"success": ok, "error": error})
+
+
+class Repository:
+    """Aggregates of one store: save with a check of the version, load a fold, exists."""
+
+    def __init__(self, events: DataFrame, fold_state: Callable[[DataFrame], DataFrame]):
+        self.events, self.fold_state = events, fold_state
+
+    def save(self, new: DataFrame, expected: DataFrame | None = None) -> "Repository":
+        """The repository after an append; this one stays as it is."""
+        return Repository(append(self.events, new, expected), self.fold_state)
+
+    def load(self, aggregate_id: str) -> DataFrame:
+        return self.fold_state(self.events.filter(F.col("aggregate_id") == aggregate_id))
+
+    def exists(self, aggregate_id: str) -> bool:
+        return not self.events.filter(F.col("aggregate_id") == aggregate_id).isEmpty()

@@ -121,3 +121,9 @@ def newest(results: DataFrame) -> DataFrame:
 
 def earliest_end(results: DataFrame) -> DataFrame:
     return results.agg(F.min("window_end").alias("earliest_end"))
+
+
+def close_early(points: DataFrame, kind: str, aggregations, start, size: str, step: str | None = None, arrival: str = "arrival") -> DataFrame:
+    """The result of the window that begins at ``start``, from what has arrived so far."""
+    out = windowed(points, kind, aggregations, size, step, arrival=arrival)
+    return out.filter(F.col("window_start") == F.lit(start))

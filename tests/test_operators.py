@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, scores
 from palimpsest.functions.intervals import parse_window
-from palimpsest.operators import crdt, eventlog, eventsourcing, projections, replay, snapshots, versioned, windows
+from palimpsest.operators import crdt, eventlog, eventsourcing, projections, replay, slices, snapshots, versioned, windows
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -255,3 +255,26 @@ def test_required_replicas(spark):
 def test_state_hash_ignores_order(spark):
     a = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "key string, h string")
     assert hashing.state_hash(a, "key", "h").first() == hashing.state_hash(a.orderBy(F.desc("key")), "key", "h").first()
+
+
+def test_slices_and_waiting(counter):
+    cache = slices.SliceCache(counter, entries=1)
+    assert cache.get(at(200)).first()["value"] == 10 and cache.get(at(200)).count() == 1 and cache.get(at(300)).first()["value"] == 25
+    assert cache.stats() == {"entries": 1, "hits": 1, "misses": 2}
+    cache.invalidate()
+    assert slices.until(lambda: counter, "counter", F.col("value") > 5, 0)["sequence"] == 2
+    assert slices.until_changed(lambda: counter, "counter", at(400), 0) is None
+
+
+def test_produce_batch_and_repository(spark):
+    log = eventlog.produce_batch(spark, [{"value": 1, "key": "k", "partition": 2}, "plain"], eventlog.Topic("t"), 10).orderBy("sequence").collect()
+    assert [(r["key"], r["value"], r["sequence"]) for r in log] == [("k", "1", 10), (None, '"plain"', 11)] and log[0]["partition"] == 2 and log[1]["partition"] == 0
+    e = spark.createDataFrame([("a", 0, 5)], "aggregate_id string, sequence long, n int")
+    repo = eventsourcing.Repository(e, lambda x: eventsourcing.fold_sum(x, F.col("n"), "total"))
+    later = repo.save(spark.createDataFrame([("a", 0, 7)], "aggregate_id string, sequence long, n int"))
+    assert later.load("a").first()["total"] == 12 and repo.exists("a") and not repo.exists("b")
+
+
+def test_close_early(spark):
+    out = windows.close_early(points(spark, [0, 4, 5]), windows.TUMBLING, ["count"], at(0), "5 seconds")
+    assert [r["count"] for r in out.collect()] == [2]
