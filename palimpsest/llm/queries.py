@@ -87,4 +87,4 @@ QUERIES = {
 }
 
 #: Those that SQL can express.
-ORACLES = {"op9_source_mixing": mixing.ORACLE}
+ORACLES = {"op4_exact_top_k": pivot_search.ORACLE, "op9_source_mixing": mixing.ORACLE}
