@@ -19,9 +19,9 @@ from array import array
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = re.compile(rf"(?<=[^{WS}])\n(?=[^{WS}])|[{WS}]*[^\W\d_]+(?=[{WS}.,;:!?]|\Z)|[{WS}]*[^{WS}]+|[{WS}]+")
 #: Pieces kept between batches and their longest length.
-CACHE, LONGEST = 1_000_000, 32
+CACHE, LONGEST = 600_000, 32
 #: Text bytes that are encoded at once, if no single text is longer.
-GROUP = 24 << 20
+GROUP = 12 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -96,7 +96,7 @@ class Encoder:
         first = split.offsets.to_numpy()
         first = first - first[0]
         coded = split.flatten().dictionary_encode()
-        at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        at, words = coded.indices.to_numpy().astype(np.int32), coded.dictionary
         space = "" if self.folds else " "
         # a word with one mark after it is looked up as the word and the mark
         cut = pc.extract_regex(words, r"^(?P<word>\pL+)(?P<mark>[.,;:!?])$")
@@ -110,12 +110,15 @@ class Encoder:
             starts, back = np.unique(at[first[:-1]], return_inverse=True)  # no space comes before a text's first word
             at[first[:-1]] = len(lists) + back
             lists += [self._chunk(words[k]) if words[k] else b"" for k in starts]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) >> 2
+        sizes = (np.fromiter(map(len, lists), np.int64, len(lists)) >> 2).astype(np.int32)
         flat = np.frombuffer(b"".join(lists), np.uint32)
-        place = np.cumsum(sizes) - sizes
+        place = np.cumsum(sizes, dtype=np.int64) - sizes
         each = sizes[at]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(place[at] - upto[:-1], each) + np.arange(upto[-1])]
+        upto = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        kind = np.int32 if max(upto[-1], len(flat)) < 1 << 31 else np.int64  # half the memory for all but huge texts
+        source = np.repeat((place[at] - upto[:-1]).astype(kind), each)
+        source += np.arange(upto[-1], dtype=kind)
+        ids = flat[source]
         counts = upto[first[1:]] - upto[first[:-1]]
         if odd.any():
             ends, parts, last = np.cumsum(counts), [], 0
@@ -129,6 +132,18 @@ class Encoder:
         return ids, counts
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps workers for later tasks that need none of it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def with_end(ids, counts, end: int):
     """The ids with ``end`` after each text, and the new counts."""
     import numpy as np
@@ -151,10 +166,12 @@ def encoded_groups(batches, encoder: Encoder, end: int):
     for batch in batches:
         texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
         upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        low = 0
+        low, ids, counts = 0, None, None
         while low < len(texts):
             base = upto[low - 1] if low else 0
             high = max(low + 1, int(np.searchsorted(upto, base + GROUP, side="right")))
             ids, counts = with_end(*encoder.encode(texts[low:high]), end)
             yield batch.column(0)[low:high], ids, counts
             low = high
+        del texts, ids, counts
+        give_back()
