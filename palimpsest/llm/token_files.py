@@ -105,6 +105,15 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
+def _bytes_of(column) -> np.ndarray:
+    """The bytes of a binary column's values, one after another."""
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    return np.frombuffer(column.buffers()[2], np.uint8, int(at[-1] - at[0]), int(at[0])) if at[-1] > at[0] else np.zeros(0, np.uint8)
+
+
 def id_ranks(table: DataFrame, kind: str) -> DataFrame:
     """rank, id and n of every id that occurs, most frequent first; a row for each id of the vocabulary at most."""
 
@@ -113,11 +122,10 @@ def id_ranks(table: DataFrame, kind: str) -> DataFrame:
 
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                own = np.bincount(np.frombuffer(x.as_buffer(), kind))
-                if len(own) > len(total):
-                    total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
-                total[: len(own)] += own
+            own = np.bincount(_bytes_of(batch.column(0)).view(kind))  # of all documents of the batch at once
+            if len(own) > len(total):
+                total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
+            total[: len(own)] += own
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
@@ -139,7 +147,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
 
     kind = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
     scratch = Scratch(spark, "tokens")
-    table = scratch.write(tokenized(docs, path, end), "ids")
+    table = scratch.write(tokenized(docs, path, end), "ids", "zstd")
     ranks = id_ranks(table, kind)
     ranks.write.parquet(f"{folder}/ranks")
     to_rank = np.zeros(1 << (8 * int(kind[2])) if kind == "<u2" else 1 + max([0, *(r["id"] for r in ranks.collect())]), np.uint32)
@@ -148,32 +156,33 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         part, block, before = TaskContext.get().partitionId(), 0, 0
-        doc_ids, known, counts, parts, n = [], [], [], [], 0
-
-        def flush():
-            nonlocal block, before, doc_ids, known, counts, parts, n
-            ranks_ = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-            payload = encode_block(doc_ids, known, np.array(counts, np.int64), ranks_, before)
-            row = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())]
-            block, before = block + 1, before + n
-            doc_ids, known, counts, parts, n = [], [], [], [], 0
+        doc_ids, known, counts, ranks_ = (np.zeros(0, t) for t in (np.int64, np.uint8, np.int64, np.uint32))
+
+        def cut(n):
+            """The first ``n`` of the waiting documents as a block."""
+            nonlocal block, before, doc_ids, known, counts, ranks_
+            size = int(counts[:n].sum())
+            payload = encode_block(doc_ids[:n], known[:n], counts[:n], ranks_[:size], before)
+            row = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())]
+            block, before = block + 1, before + size
+            doc_ids, known, counts, ranks_ = doc_ids[n:], known[n:], counts[n:], ranks_[size:]
             return pa.RecordBatch.from_arrays(row, names=["part", "block", "n", "payload"])
 
         for batch in batches:
-            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = to_rank[np.frombuffer(x.as_buffer(), kind)]
-                if n and n + len(own) > BLOCK:
-                    yield flush()
-                doc_ids.append(doc or 0)
-                known.append(doc is not None)
-                counts.append(len(own))
-                parts.append(own)
-                n += len(own)
-        if n:
-            yield flush()
+            docs_, width = batch.column(0), int(kind[2])
+            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) // width
+            doc_ids = np.concatenate([doc_ids, docs_.fill_null(0).to_numpy()])
+            known = np.concatenate([known, docs_.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)])
+            counts = np.concatenate([counts, sizes])
+            ranks_ = np.concatenate([ranks_, to_rank[_bytes_of(batch.column(1)).view(kind)]])
+            while counts.sum() >= BLOCK:
+                yield cut(max(1, int(np.searchsorted(np.cumsum(counts), BLOCK, side="right"))))
+        while len(counts):
+            yield cut(max(1, int(np.searchsorted(np.cumsum(counts), BLOCK, side="right"))))
 
     order = ["doc_id", F.xxhash64("ids")]
     dealt = table.repartitionByRange(*order).sortWithinPartitions(*order)
