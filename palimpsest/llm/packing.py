@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
         import pyarrow as pa
 
-        encoder = Encoder(path)
+        encoder = Encoder(path)  # not the process's: later stages of a pipeline need the memory
         for doc, ids, counts in encoded_groups(batches, encoder, end):
             n = -(-counts // capacity)
             row = np.repeat(np.arange(len(counts)), n)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .packing import tokenizer_path
-from .tokens import Encoder, encoded_groups
+from .tokens import encoded_groups, shared_encoder
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
 MAGIC, FORMAT, HEADER = b"RKVB", 1, struct.Struct("<4sIIqq")
@@ -37,31 +37,33 @@ MAGIC, FORMAT, HEADER = b"RKVB", 1, struct.Struct("<4sIIqq")
 BLOCK = 1 << 18
 
 #: Lengths of the four values of each control byte.
-_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
     values = values.astype("<u4", copy=False)
-    size = 1 + (values > 0xFF) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    most = int(values.max()) if len(values) else 0
+    wide = max(1, -(-most.bit_length() // 8))  # bytes that any value needs
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[: len(values)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    own = codes[: len(values)]
+    for k in range(1, wide):
+        own += values >= 1 << (8 * k)
+    four = codes.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    each = values.view(np.uint8).reshape(-1, 4)[:, :wide]
+    data = each[np.arange(wide, dtype=np.uint8) <= own[:, None]]
     return control.tobytes(), data.tobytes()
 
 
 def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` values of control and data bytes."""
     size = _LENGTHS[control].reshape(-1)[:n]
-    first = np.cumsum(size) - size
-    padded = np.concatenate([data, np.zeros(3, np.uint8)])
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        some = size > k
-        if not some.any():
-            break
-        out[some] |= padded[first[some] + k].astype(np.uint32) << np.uint32(8 * k)
+    first = np.cumsum(size, dtype=np.int64) - size
+    out = data[first].astype(np.uint32)
+    for k in range(1, int(size.max()) if n else 0):
+        some = np.flatnonzero(size > k)
+        out[some] |= data[first[some] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -93,7 +95,7 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for doc, ids, counts in encoded_groups(batches, encoder, end):
             data = memoryview(ids.astype(kind)).cast("B")

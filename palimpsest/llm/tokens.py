@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import sys
 from array import array
+from functools import lru_cache
 
 #: Unicode white space, written out: Python's ``\s`` knows four more characters.
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -21,7 +22,7 @@ _PIECES = re.compile(rf"(?<=[^{WS}])\n(?=[^{WS}])|[{WS}]*[^\W\d_]+(?=[{WS}.,;:!?
 #: Pieces kept between batches and their longest length.
 CACHE, LONGEST = 600_000, 32
 #: Text bytes that are encoded at once, if no single text is longer.
-GROUP = 12 << 20
+GROUP = 16 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -157,6 +158,12 @@ def with_end(ids, counts, end: int):
     return out, counts
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """The process's encoder: a worker's later tasks find its pieces."""
+    return Encoder(path)
+
+
 def encoded_groups(batches, encoder: Encoder, end: int):
     """Of (doc_id, text) batches: (doc ids, ids, counts) of groups of rows of bounded size."""
     import numpy as np
