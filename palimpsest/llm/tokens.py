@@ -20,7 +20,7 @@ from functools import lru_cache
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = re.compile(rf"(?<=[^{WS}])\n(?=[^{WS}])|[{WS}]*[^\W\d_]+(?=[{WS}.,;:!?]|\Z)|[{WS}]*[^{WS}]+|[{WS}]+")
 #: Pieces kept between batches and their longest length.
-CACHE, LONGEST = 600_000, 32
+CACHE, LONGEST = 1_000_000, 32
 #: Text bytes that are encoded at once, if no single text is longer.
 GROUP = 16 << 20
 
@@ -49,30 +49,43 @@ class Encoder:
         #: Whether words' case and the spaces before them don't matter.
         self.folds = self.tokenizer.normalizer is not None
 
-    def _encode(self, piece: str) -> bytes:
+    def _letters(self, piece: str) -> bytes | None:
+        """The ids of one pre-token of Latin-1 letters, perhaps after a space: only the merges are left."""
         word = piece[1:] if piece[:1] == " " else piece
-        if word.isalpha() and max(word) <= "\xff":  # one pre-token of Latin-1 letters: only the merges are left
-            if self.folds:
-                word = word.lower()
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
-            if word is not piece and not self.folds:
-                shown = "\u0120" + shown
-            written = self.written
-            return b"".join([written[t.id] for t in self.model.tokenize(shown)])
-        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            shown = word.lower() if self.folds else word
+        elif max(word) <= "\xff":
+            shown = (word.lower() if self.folds else word).encode().decode("latin-1").translate(self.table)
+        else:
+            return None
+        if word is not piece and not self.folds:
+            shown = "\u0120" + shown
+        written = self.written
+        return b"".join([written[t.id] for t in self.model.tokenize(shown)])
+
+    def _keep(self, piece: str, found: bytes) -> bytes:
+        if len(self.cache) < self.limit and len(piece) <= LONGEST:
+            self.cache[piece] = found
+        return found
 
     def _ids(self, piece: str) -> bytes:
         found = self.cache.get(piece)
+        if found is not None:
+            return found
+        found = self._letters(piece)
         if found is None:
-            found = self._encode(piece)
-            if len(self.cache) < self.limit and len(piece) <= LONGEST:
-                self.cache[piece] = found
-        return found
+            found = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        return self._keep(piece, found)
 
     def _chunk(self, chunk: str) -> bytes:
         found = self.cache.get(chunk)
         if found is not None:
             return found
+        found = self._letters(chunk)
+        if found is not None:
+            return self._keep(chunk, found)
         parts = _PIECES.findall(chunk)
         if len(parts) == 1:
             return self._ids(chunk)
