@@ -48,8 +48,9 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        df.write.option("compression", compression).parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
+        writer = df.write.option("compression", compression)
+        (writer.partitionBy(by) if by else writer).parquet(self.path(name))
         self.expire(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

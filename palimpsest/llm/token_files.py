@@ -90,21 +90,33 @@ def decode_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """(doc_id, ids) with the ids as little-endian unsigned 16- or 32-bit integers by the vocabulary's size."""
+    """(doc_id, ids, counts): a row for each document with counts false, its ids as little-endian unsigned
+    16- or 32-bit integers by the vocabulary's size, and a row for each task with counts true: how often
+    the task met each id, as 64-bit integers."""
 
     def run(batches):
         import pyarrow as pa
 
+        def rows(doc, ids, counts):
+            flag = pa.array(np.full(len(ids), counts))
+            return pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.binary()), flag], names=["doc_id", "ids", "counts"])
+
         encoder = shared_encoder(path)
-        kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        size = encoder.tokenizer.get_vocab_size()
+        kind, total = _kind(size), np.zeros(size, np.int64)
         for doc, ids, counts in encoded_groups(batches, encoder, end):
-            data = memoryview(ids.astype(kind)).cast("B")
-            width = int(kind[2])
+            total += np.bincount(ids, minlength=size)
+            data, width = memoryview(ids.astype(kind)).cast("B"), int(kind[2])
             upto = (np.cumsum(counts) * width).tolist()
-            rows = [bytes(data[b - n * width : b]) for b, n in zip(upto, counts.tolist())]
-            yield pa.RecordBatch.from_arrays([doc, pa.array(rows, pa.binary())], names=["doc_id", "ids"])
+            yield rows(doc, [bytes(data[b - n * width : b]) for b, n in zip(upto, counts.tolist())], False)
+        yield rows(pa.nulls(1, pa.int64()), [total.astype("<i8").tobytes()], True)
+
+    schema = "doc_id long, ids binary, counts boolean"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+def _kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 def _bytes_of(column) -> np.ndarray:
@@ -116,26 +128,21 @@ def _bytes_of(column) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8, int(at[-1] - at[0]), int(at[0])) if at[-1] > at[0] else np.zeros(0, np.uint8)
 
 
-def id_ranks(table: DataFrame, kind: str) -> DataFrame:
-    """rank, id and n of every id that occurs, most frequent first; a row for each id of the vocabulary at most."""
+def id_ranks(counts: DataFrame) -> list[tuple[int, int, int]]:
+    """(rank, id, n) of every id that occurs, most frequent first, from the tasks' counts; bounded by the vocabulary."""
 
-    def count(batches):
+    def spread(batches):
         import pyarrow as pa
 
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            own = np.bincount(_bytes_of(batch.column(0)).view(kind))  # of all documents of the batch at once
-            if len(own) > len(total):
-                total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
-            total[: len(own)] += own
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
+            for x in batch.column(0):
+                n = np.frombuffer(x.as_buffer(), "<i8")
+                seen = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["id", "n"])
 
-    counts = table.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    # bounded by the vocabulary: ranked on the driver
-    rows = sorted(((r["n"], r["id"]) for r in counts.collect()), key=lambda x: (-x[0], x[1]))
-    schema = "rank int, id long, n long"
-    return table.sparkSession.createDataFrame([(k, i, n) for k, (n, i) in enumerate(rows)], schema).coalesce(1)
+    sums = counts.select("ids").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = sorted(((r["n"], r["id"]) for r in sums.collect()), key=lambda x: (-x[0], x[1]))
+    return [(k, i, n) for k, (n, i) in enumerate(rows)]
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> None:
@@ -147,14 +154,15 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
     spark, path = docs.sparkSession, path or tokenizer_path(TOKENIZER)
     from tokenizers import Tokenizer
 
-    kind = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+    kind = _kind(Tokenizer.from_file(path).get_vocab_size())
     scratch = Scratch(spark, "tokens")
-    table = scratch.write(tokenized(docs, path, end), "ids", "zstd")
-    ranks = id_ranks(table, kind)
-    ranks.write.parquet(f"{folder}/ranks")
-    to_rank = np.zeros(1 << (8 * int(kind[2])) if kind == "<u2" else 1 + max([0, *(r["id"] for r in ranks.collect())]), np.uint32)
-    for r in ranks.collect():
-        to_rank[r["id"]] = r["rank"]
+    parts = scratch.write(tokenized(docs, path, end), "ids", "zstd", by="counts")
+    ranks = id_ranks(parts.filter("counts"))
+    spark.createDataFrame(ranks, "rank int, id long, n long").coalesce(1).write.parquet(f"{folder}/ranks")
+    to_rank = np.zeros(1 + max([0, *(i for _, i, _ in ranks)]), np.uint32)
+    for k, i, _ in ranks:
+        to_rank[i] = k
+    table = parts.filter("not counts").select("doc_id", "ids")
 
     def run(batches):
         import pyarrow as pa
