@@ -13,7 +13,7 @@ DEFAULTS = {
 
 
 def get_session(app_name: str = "palimpsest", master: str | None = None, **conf: str) -> SparkSession:
-    """A session; ``conf`` keys use underscores for dots' sake only if quoted as usual in a dict."""
+    """A session with the defaults and any ``conf`` settings, given as ``**{"spark...": value}``."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
