@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences.  From every sentence on, the shortest run of at
-least MIN_SENTENCES consecutive sentences with at least MIN_WORDS words is a
-span, and so is the shortest such run at the end of the text; each is hashed by
-its words.  Spans are joined globally by hash, and sentences covered by any
+A text is cut into sentences.  A run of at least MIN_SENTENCES consecutive
+sentences with at least MIN_WORDS words, or one sentence of at least LONE_WORDS
+words, is long enough.  The shortest such run that starts with each sentence
+is a span, and so is the shortest that ends with each; each is hashed by its
+words.  Spans are joined globally by hash, and sentences covered by any
 occurrence but the first (smallest doc_id, then text, then place) go.
 
 One aggregation finds the hashes that occur twice and where they come first;
@@ -16,6 +17,7 @@ document's own sentences.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from pyspark.sql import types as T
 from .common import Scratch, fresh
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
+#: From so many words on a single sentence is long enough.
+LONE_WORDS = 50
 #: A sentence with the white space after it; a line's end ends a sentence.
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|\Z)\s*|[.!?]+|\n\s*|\Z)")
 
@@ -47,28 +51,42 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def span_runs(words: list[int]) -> list[tuple[int, int]]:
-    """(first, last) sentence of each span, for the number of words of each sentence."""
+def _shortest(words: list[int]) -> list[tuple[int, int]]:
+    """(first, last) sentence of the shortest run from each sentence on."""
     runs, high, total = [], 0, 0
+
+    def short(low):
+        if high - low == 1 and total >= LONE_WORDS:
+            return False
+        return total < MIN_WORDS or high - low < MIN_SENTENCES
+
     for low in range(len(words)):
-        high = max(high, low)
-        while high < len(words) and (total < MIN_WORDS or high - low < MIN_SENTENCES):
+        while high < len(words) and short(low):
             total += words[high]
             high += 1
-        if total < MIN_WORDS or high - low < MIN_SENTENCES:
+        if short(low):
             break
         runs.append((low, high - 1))
         total -= words[low]
-    if runs:  # the shortest run that ends with the text
-        low, total = len(words), 0
-        while low > 0 and (total < MIN_WORDS or len(words) - low < MIN_SENTENCES):
-            low -= 1
-            total += words[low]
-        if (low, len(words) - 1) != runs[-1]:
-            runs.append((low, len(words) - 1))
     return runs
 
 
+def span_runs(words: list[int]) -> list[tuple[int, int]]:
+    """(first, last) sentence of each span, for the number of words of each sentence.
+
+    Any longer run is the union of the spans inside it.  Of spans that differ
+    by sentences without words only the first is listed: their words are one place.
+    """
+    n = len(words)
+    runs = {*_shortest(words), *[(n - 1 - high, n - 1 - low) for low, high in _shortest(words[::-1])]}
+    if 0 not in words:
+        return sorted(runs)
+    filled, out = list(accumulate(w > 0 for w in words)), {}
+    for low, high in sorted(runs):
+        out.setdefault((filled[low] - (words[low] > 0), filled[high]), (low, high))
+    return list(out.values())
+
+
 def text_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(first sentence, last sentence, hash, second hash) of every span of a text."""
     import xxhash
@@ -136,7 +154,7 @@ def dedup(docs: DataFrame, names: tuple[str, str, str] = ("n_sentences", "n_remo
     removed, and the removed (start, end) character spans of the old text.
 
     Every row stays.  Null texts stay null, texts without a span (empty ones,
-    single sentences, fewer than MIN_WORDS words) stay as they are.  Rows that
+    single sentences under LONE_WORDS words, fewer than MIN_WORDS words) stay as they are.  Rows that
     repeat a doc_id and text count as one document and get the same result; a
     null doc_id comes before all others.
     """

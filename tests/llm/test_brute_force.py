@@ -49,6 +49,36 @@ def test_op1_catches_a_passage_inside_other_texts(spark, prose):
     assert all(passage[30:] not in out[k]["text"] and len(out[k]["text"]) < len(texts[k]) - 200 for k in (1, 2, 3))
 
 
+@given(st.lists(st.one_of(st.integers(1, 25), st.integers(45, 60)), max_size=14))
+def test_op1_spans_cover_every_long_enough_run(words):
+    runs = spans.span_runs(words)
+    long_enough = lambda a, b: sum(words[a : b + 1]) >= 20 if b > a else words[a] >= 50
+    assert all(long_enough(a, b) for a, b in runs)
+    for a in range(len(words)):
+        for b in range(a, len(words)):
+            if long_enough(a, b):
+                assert {k for x, y in runs if a <= x and y <= b for k in range(x, y + 1)} == {*range(a, b + 1)}
+
+
+@pytest.mark.parametrize("lengths", [[55, 13, 1, 2, 4, 12], [30, 6, 19, 15, 16, 6, 3, 10], [52]])
+def test_op1_removes_the_whole_passage(spark, lengths):
+    rng = random.Random(4)
+    sentence = lambda n: " ".join(str(rng.getrandbits(60)) for _ in range(n)) + ". "
+    passage = "".join(map(sentence, lengths))
+    around = [(sentence(30) + sentence(7), sentence(9) + sentence(25)) for _ in range(3)]
+    texts = [before + passage + after for before, after in around]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in spans.dedup(df).collect()}
+    assert out == {0: texts[0]} | {k: around[k][0] + around[k][1] for k in (1, 2)}
+
+
+def test_op1_a_text_is_no_copy_of_itself(spark):
+    rng = random.Random(6)
+    text = "\n" + " ".join(str(rng.getrandbits(60)) for _ in range(60)) + ". Some more words."
+    df = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    assert [r["text"] for r in spans.dedup(df).collect()] == [text]
+
+
 @given(st.text(alphabet="ab .!?\n1", max_size=60))
 def test_sentences_cover_the_text(text):
     cut = spans.sentences(text)
