@@ -7,11 +7,13 @@ is a span, and so is the shortest that ends with each; each is hashed by its
 words.  Spans are joined globally by hash, and sentences covered by any
 occurrence but the first (smallest doc_id, then text, then place) go.
 
-One aggregation finds the hashes that occur twice and where they come first;
-its map-side combine takes care of spans that very many documents share.  The
-occurrences are then joined to those hashes only, from two written tables, so
-that Spark can split a hash with many rows; what is gathered at the end is one
-document's own sentences.
+A document's hashes are written as one row.  One aggregation then finds the
+hashes that two documents have and the first document of each: rows of plain
+integers, combined before they move, so a span that very many documents share
+costs a row a task.  The occurrences are joined to those hashes only, from two
+written tables, so that Spark can split a hash with many rows.  What is gathered
+at the end is one document's own spans.  Places inside a text are found again
+from the text and never travel.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .common import Scratch, fresh
 MIN_SENTENCES, MIN_WORDS = 2, 20
 #: From so many words on a single sentence is long enough.
 LONE_WORDS = 50
+#: Where a null doc_id stands: before all others.
+FIRST_DOC = -(1 << 63)
 #: A sentence with the white space after it; a line's end ends a sentence.
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|\Z)\s*|[.!?]+|\n\s*|\Z)")
 
@@ -92,60 +96,76 @@ def text_spans(text: str) -> list[tuple[int, int, int, int]]:
     import xxhash
 
     found = [text[a:b].split() for a, b in sentences(text)]
+    joined = [" ".join(words) for words in found]
     out = []
     for low, high in span_runs([len(w) for w in found]):
-        data = " ".join([w for s in found[low : high + 1] for w in s]).encode()
-        d = xxhash.xxh3_128_intdigest(data)
-        out.append((low, high, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
+        d = xxhash.xxh3_128_intdigest(" ".join([x for x in joined[low : high + 1] if x]).encode())
+        out.append((low, high, (d >> 64) - (1 << 63), (d & (1 << 32) - 1) - (1 << 31)))
     return out
 
 
-SPAN_SCHEMA = "doc_id long, body long, low int, high int, h1 long, h2 long"
-
-
-def spans(docs: DataFrame) -> DataFrame:
-    """The spans of every text; ``body`` is a hash of the text."""
+def hashes(docs: DataFrame) -> DataFrame:
+    """One row a text: ``body`` is a hash of it, ``at``, ``h1`` and ``h2`` are the numbers and the
+    hashes of its spans, ``again`` the numbers of spans that the same text had before."""
 
     def run(batches):
+        import pyarrow as pa
         import xxhash
 
+        kinds = [pa.int64(), pa.int64(), *[pa.list_(k) for k in (pa.int32(), pa.int64(), pa.int32(), pa.int32())]]
+
+        def batch_of(rows):
+            arrays = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc", "body", "at", "h1", "h2", "again"])
+
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in kinds]
+            held = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 if text is None:
                     continue
+                seen, again = {}, []
+                for k, (_, _, h1, h2) in enumerate(text_spans(text)):
+                    if (h1, h2) in seen:
+                        again.append(k)
+                    else:
+                        seen[h1, h2] = k
                 body = xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
-                for low, high, h1, h2 in text_spans(text):
-                    for column, value in zip(rows, (doc, body, low, high, h1, h2), strict=True):
-                        column.append(value)
-                if len(rows[0]) > 100_000:
-                    yield _batch(rows)
-                    rows = [[] for _ in range(6)]
-            yield _batch(rows)
-
-    def _batch(rows):
-        import pyarrow as pa
-
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        arrays = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "body", "low", "high", "h1", "h2"])
+                own = [doc, body, [*seen.values()], [h for h, _ in seen], [h for _, h in seen], again]
+                for column, value in zip(rows, own, strict=True):
+                    column.append(value)
+                held += len(seen)
+                if held > 100_000:
+                    yield batch_of(rows)
+                    rows, held = [[] for _ in kinds], 0
+            yield batch_of(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SPAN_SCHEMA)
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_DOC))
+    schema = "doc long, body long, at array<int>, h1 array<long>, h2 array<int>, again array<int>"
+    return docs.select(doc.alias("doc"), "text").mapInArrow(run, schema)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, runs): the sentence runs of each text that occurred before."""
+    """(doc, body, runs): the numbers of those spans of each text that occurred before."""
     scratch = Scratch(docs.sparkSession, "spans")
-    table = scratch.write(spans(docs), "spans")
-    place = F.struct("doc_id", "body", "low")
-    # rows equal in doc_id and text are one document: their spans are the same places
-    first = table.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    twice = scratch.write(first.filter(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"), "twice")
-    later = table.join(twice, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
-    runs = later.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("runs"))
-    out = scratch.write(runs, "runs")
-    scratch.drop("spans", "twice")
+    table = scratch.write(hashes(docs), "hashes")
+    # rows equal in doc_id and text are one document
+    shared = table.groupBy("doc").agg(F.min("body").alias("b0"), F.max("body").alias("b1")).filter("b0 <> b1").select("doc")
+    shared = scratch.write(shared, "shared")
+    each = table.select("doc", "body", F.explode(F.arrays_zip("at", "h1", "h2")).alias("s"))
+    each = each.select("doc", "body", F.col("s.at").alias("at"), F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"))
+    first = each.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    first = scratch.write(first.filter("first <> last").select("h1", "h2", "first"), "first")
+    later = each.join(first, ["h1", "h2"]).filter(F.col("doc") > F.col("first")).select("doc", "body", "at")
+    later = later.union(table.select("doc", "body", F.explode("again").alias("at")))
+    if not shared.isEmpty():  # different texts under one doc_id: the smaller hash of a text is the earlier
+        same = each.join(shared, "doc")
+        lead = same.groupBy("doc", "h1", "h2").agg(F.min("body").alias("lead"), F.max("body").alias("tail"))
+        lead = scratch.write(lead.filter("lead <> tail").drop("tail"), "lead")
+        later = later.union(same.join(lead, ["doc", "h1", "h2"]).filter(F.col("body") > F.col("lead")).select("doc", "body", "at"))
+    out = scratch.write(later.groupBy("doc", "body").agg(F.array_sort(F.collect_set("at")).alias("runs")), "runs")
+    scratch.drop("hashes", "first", "shared", "lead")
     return out
 
 
@@ -154,13 +174,17 @@ def dedup(docs: DataFrame, names: tuple[str, str, str] = ("n_sentences", "n_remo
     removed, and the removed (start, end) character spans of the old text.
 
     Every row stays.  Null texts stay null, texts without a span (empty ones,
-    single sentences under LONE_WORDS words, fewer than MIN_WORDS words) stay as they are.  Rows that
-    repeat a doc_id and text count as one document and get the same result; a
-    null doc_id comes before all others.
+    single sentences under LONE_WORDS words, fewer than MIN_WORDS words) stay as they are.
+    Very long texts are taken whole.  Rows that repeat a doc_id and text count as
+    one document and get the same result; of different texts under one doc_id the
+    one with the smaller hash is the earlier; a null doc_id stands at FIRST_DOC.
+    An empty table gives an empty one.  ``names`` that ``docs`` already has, in
+    any case, get an underscore before them.
     """
+    names = tuple(fresh(docs.columns, *names))
     key, body, same, runs = fresh([*docs.columns, *names], "key", "body", "same", "runs")
     text_at = docs.columns.index("text")
-    found = repeated(docs).select(F.col("doc_id").alias(key), F.col("body").alias(same), F.col("runs").alias(runs))
+    found = repeated(docs).select(F.col("doc").alias(key), F.col("body").alias(same), F.col("runs").alias(runs))
 
     def bodies(batches):
         import pyarrow as pa
@@ -173,8 +197,9 @@ def dedup(docs: DataFrame, names: tuple[str, str, str] = ("n_sentences", "n_remo
 
     schema = T.StructType([*docs.schema.fields, T.StructField(body, T.LongType())])
     keyed = docs.mapInArrow(bodies, schema)
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(body) == F.col(same))
-    joined = keyed.join(found, match, "left").drop(body, same, key)
+    match = (F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_DOC)) == F.col(key)) & (F.col(body) == F.col(same))
+    # both sides grow with the corpus: one plan at every size
+    joined = keyed.join(found.hint("merge"), match, "left").drop(body, same, key)
     out_schema = T.StructType(
         [*docs.schema.fields]
         + [T.StructField(names[0], T.IntegerType()), T.StructField(names[1], T.IntegerType())]
@@ -191,9 +216,11 @@ def dedup(docs: DataFrame, names: tuple[str, str, str] = ("n_sentences", "n_remo
                 text, own = text.as_py(), own.as_py()
                 cut = sentences(text) if text is not None else []
                 drop = [False] * len(cut)
-                for r in own or ():
-                    for k in range(r["low"], r["high"] + 1):
-                        drop[k] = True
+                if own:
+                    places = span_runs([len(text[a:b].split()) for a, b in cut])
+                    for r in own:
+                        low, high = places[r]
+                        drop[low : high + 1] = [True] * (high + 1 - low)
                 spans_: list[dict] = []
                 for (a, b), d in zip(cut, drop, strict=True):
                     if d and spans_ and spans_[-1]["end"] == a:
