@@ -25,6 +25,14 @@ from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, width
+#: Where a null doc_id stands.
+FIRST_DOC = -(1 << 63)
+#: The near-copy groups of a corpus: shingle words, similarity, bits of the fingerprint.
+NEAR_SHINGLE, NEAR, WIDE = 5, 0.8, 512
+#: Keys, blocks in a key and bits of a block; members of a key that are compared with each other.
+KEYS, KEY_BLOCKS, KEY_WIDTH, NEAR_CROWD = 128, 7, 4, 256
+#: Bits that differ at that similarity, acos(2 NEAR / (1 + NEAR)) / pi of all, and one standard error more.
+NEAR_BITS = 86
 #: Up to so many fingerprints under one key are compared with each other.
 CROWD = 64
 
@@ -140,23 +148,148 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD) -> DataF
     return each.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
+def _wide(data: bytes | None) -> bytes:
+    """The WIDE-bit fingerprint of a UTF-8 text over NEAR_SHINGLE words; zero if it has no word."""
+    import numpy as np
+    import xxhash
+
+    found = (data or b"").lower().split()
+    if not found:
+        return bytes(WIDE // 8)
+    n = max(1, len(found) - NEAR_SHINGLE + 1)
+    totals, digest = np.zeros(WIDE, np.int64), xxhash.xxh64_intdigest
+    seeds = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for low in range(0, n, 4080):  # bounded memory for texts of any length
+        part = [digest(b" ".join(found[k : k + NEAR_SHINGLE]), SEED) for k in range(low, min(n, low + 4080))]
+        h = np.array(part, np.uint64)[:, None] + seeds  # independent words from one hash: a mixer's steps
+        h ^= h >> np.uint64(30)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(27)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        bits = np.unpackbits(h.view(np.uint8), axis=1)
+        for k in range(0, len(bits), 255):  # sums of 255 ones fit a byte
+            totals += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(totals * 2 > n).tobytes()
+
+
+def block_choice():
+    """For each key the bits of the KEY_BLOCKS blocks it is made of: fixed, evenly spread choices."""
+    import numpy as np
+
+    rng, blocks = np.random.default_rng(SEED), WIDE // KEY_WIDTH
+    chosen = np.array([np.sort(rng.permutation(blocks)[:KEY_BLOCKS]) for _ in range(KEYS)])
+    return (chosen[:, :, None] * KEY_WIDTH + np.arange(KEY_WIDTH)).reshape(KEYS, -1)
+
+
+def with_wide(docs: DataFrame, doc: str, vertex: str, wide: str, keys: str) -> DataFrame:
+    """``docs`` reduced to its id, a hash of its lower-cased words, the wide fingerprint and its block keys."""
+    rows = docs.select(F.col("doc_id").cast("long").alias(doc), "text")
+    choice = block_choice()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1).cast(pa.binary())]
+            node = [xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) - (1 << 63) for t in texts]
+            known = {v: t for v, t in zip(node, texts)}  # copies in a batch are taken once
+            known = {v: _wide(t) for v, t in known.items()}
+            out = [known[v] for v in node]
+            bits = np.unpackbits(np.frombuffer(b"".join(out), np.uint8).reshape(len(out), -1), axis=1)
+            scale = 1 << np.arange(choice.shape[1], dtype=np.int64)
+            own = np.stack([bits[:, c] @ scale + (k << choice.shape[1]) for k, c in enumerate(choice)], axis=1) if len(out) else np.zeros((0, KEYS), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * KEYS), pa.array(own.astype(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(node, pa.int64()), pa.array(out, pa.binary()), lists], names=[doc, vertex, wide, keys]
+            )
+
+    return rows.mapInArrow(run, f"{doc} long, {vertex} long, {wide} binary, {keys} array<long>")
+
+
+def near_links(each: DataFrame, scratch: Scratch, crowd: int = NEAR_CROWD) -> DataFrame:
+    """Edges (a, b) between texts whose wide fingerprints differ in NEAR_BITS or fewer bits.
+
+    ``each`` has distinct ``v`` with ``wide`` and ``keys``.  Under one key all are
+    compared.  A key with more than ``crowd`` members is dealt into tiles of
+    that size, and every tile also has the key's first members in the order of
+    a hash, so near copies in different tiles meet through them or under
+    another key.
+    """
+    rows = each.select("v", F.explode("keys").alias("k"))
+    sizes = scratch.write(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    words = [F.conv(F.hex(F.substring("wide", 1 + 8 * i, 8)), 16, -10).cast("long") for i in range(WIDE // 64)]
+    met = scratch.write(rows.join(sizes, "k"), "met")
+    named = scratch.write(met.select("v").distinct().join(each.select("v", F.array(*words).alias("w")), "v"), "words")
+    full = met.join(named, "v")
+    order = F.xxhash64("v", "k")
+    tile = F.pmod(order, F.ceil(F.col("n") / crowd))
+    few = full.select("k", F.when(F.col("n") > crowd, tile).otherwise(0).alias("t"), "v", "w")
+    many = met.filter(F.col("n") > crowd)
+    first = many.groupBy("k", "n").agg(F.min(F.struct(order.alias("o"), "v")).alias("m"))
+    hubs = first.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / crowd) - 1)).alias("t"), F.col("m.v").alias("v"))
+    hubs = hubs.join(named, "v").select("k", "t", "v", "w")
+    tiles = few.unionByName(hubs).groupBy("k", "t").agg(F.array_distinct(F.collect_list(F.struct("v", "w"))).alias("all"))
+    differ = lambda x, y: F.aggregate(
+        F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v
+    )
+    pairs = tiles.select("all", F.explode("all").alias("one")).select(
+        F.col("one.v").alias("a"),
+        F.explode(F.filter("all", lambda x: (x["v"] > F.col("one.v")) & (differ(x["w"], F.col("one.w")) <= NEAR_BITS))).alias("other"),
+    )
+    return pairs.select("a", F.col("other.v").alias("b")).distinct()
+
+
+def near_groups(docs: DataFrame, crowd: int = NEAR_CROWD) -> DataFrame:
+    """doc_id, v (a hash of the text's lower-cased words) and root of every row of ``docs``:
+    near copies by NEAR_SHINGLE words at a similarity of NEAR or more share a root.
+
+    Texts with the same words are one vertex from the start; null and empty
+    texts have the same, empty, words.  Rows that repeat a doc_id, and rows
+    without one, each keep their row.  An empty table gives an empty one.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    each = scratch.write(with_wide(docs, "doc_id", "v", "wide", "keys"), "each")
+    texts = scratch.write(each.select("v", "wide", "keys").dropDuplicates(["v"]), "texts")
+    rooted = components(near_links(texts, scratch, crowd), scratch)
+    rooted = scratch.write(rooted.select(F.col("node").alias("v"), "root"), "roots")
+    scratch.drop("texts", "sizes", "met", "words")
+    return each.select("doc_id", "v").join(rooted, "v", "left").select("doc_id", "v", F.coalesce("root", "v").alias("root"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies: the one of smallest doc_id.
+    """One row of each group of near copies: the one of smallest doc_id, then of
+    smallest word hash; a row without an id only if no row of the group has one.
 
-    Rows that repeat that doc_id are one document and one of them stays.  Rows
-    without an id go if a document with an id is in their group; of a group
-    without any id one row stays.
+    Rows equal in doc_id and words are one document and one of them stays: the
+    smallest by hash of all columns.
     """
-    doc, keep, fp = fresh(docs.columns, "doc", "keep", "fp")
-    found = groups(docs)
+    scratch = Scratch(docs.sparkSession, "first")
+    doc, vertex, mark, rank = fresh(docs.columns, "doc", "vertex", "mark", "rank")
+    found = near_groups(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")
+    kept = found.groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias(doc), F.col("p.v").alias(vertex))
+    kept = scratch.write(kept, "kept")
+    at = docs.columns.index("text")
+
+    def bodies(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            node = [xxhash.xxh3_64_intdigest(b" ".join(t.as_buffer().to_pybytes().lower().split() if t.is_valid else [])) - (1 << 63) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], names=[*batch.schema.names, mark])
+
+    rows = docs.mapInArrow(bodies, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(vertex))
+    rows = rows.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_DOC)))
+    kept = kept.select(F.coalesce(doc, F.lit(FIRST_DOC)).alias(doc), F.col(vertex).alias(mark))
+    # both sides grow with the corpus: one plan at every size; the rows that are left stay where they are
+    rows = rows.join(kept.hint("merge"), [doc, mark], "left_semi")
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(keep)).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).withColumn(doc, F.col("doc_id").cast("long"))
-    named = named.join(kept, F.col(doc) == F.col(keep), "left_semi").dropDuplicates([doc]).select(*cols)
-    lone = found.filter(F.col("doc_id").isNull() & F.col("component_id").isNull())
-    if lone.isEmpty():
-        return named
-    lone = lone.groupBy(F.col("root").alias("r")).agg(F.min("fp").alias(keep))
-    plain = docs.filter(F.col("doc_id").isNull())
-    marked = with_fingerprint(plain, fp).join(lone.select(keep), F.col(fp) == F.col(keep), "left_semi")
-    return named.unionByName(marked.dropDuplicates([fp]).select(*cols))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    least = F.min_by(F.struct(*cols), F.struct(F.col("doc_id").isNull(), F.xxhash64(*hashed)))
+    return rows.groupBy(doc, mark).agg(least.alias(rank)).select(*[F.col(f"{rank}.`{c}`").alias(c) for c in docs.columns])

@@ -242,6 +242,90 @@ def test_op6_groups(spark, docs):
     assert {r["doc_id"]: r["component_id"] for r in out} == want
 
 
+def plain_wide(text):
+    """512 bits over five words, a shingle and a bit at a time."""
+    import xxhash
+
+    w, mask = text.encode().lower().split(), (1 << 64) - 1
+    if not w:
+        return 0
+    shingles = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 5]), 42) for k in range(max(1, len(w) - 4))]
+    totals = collections.Counter()
+    for h in shingles:
+        for k in range(8):
+            x = (h + (k + 1) * 0x9E3779B97F4A7C15) & mask
+            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+            x ^= x >> 31
+            totals.update(64 * k + b for b in range(64) if x >> b & 1)
+    return sum(1 << b for b in range(512) if 2 * totals[b] > len(shingles))
+
+
+def plain_near_groups(texts):
+    """Components of texts that agree on all bits of one key and differ in at most 86 bits."""
+    ids = sorted(texts)
+    fps = {i: plain_wide(texts[i]) for i in ids}
+    # bit b of a plain fingerprint is bit b of little-endian bytes, most significant bit first within a byte
+    masks = [sum(1 << (8 * (int(b) // 8) + 7 - int(b) % 8) for b in own) for own in simhash.block_choice()]
+    root = {i: i for i in ids}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x = fps[a] ^ fps[b]
+            if x.bit_count() <= 86 and any(not x & m for m in masks):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in ids}
+
+
+def edited(rng, words, changes):
+    words = list(words)
+    for k in rng.sample(range(len(words)), changes):
+        words[k] = f"w{rng.getrandbits(40)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("crowd", [4, 256])
+def test_op6_near_copies_by_five_words(spark, prose, crowd):
+    """Copies with few changed words share a root, also where a key is crowded; other texts keep their own."""
+    rng = random.Random(8)
+    bases = [prose(rng, 300).split() for _ in range(12)]
+    rows = [(100 * k + j, edited(rng, b, 3 if j else 0)) for k, b in enumerate(bases) for j in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    root = {r["doc_id"]: r["root"] for r in simhash.near_groups(df, crowd).collect()}
+    assert len(set(root.values())) == 12 and all(root[i] == root[i // 100 * 100] for i in root)
+
+
+def test_op6_stage_keeps_texts_that_share_an_id(spark, prose):
+    rng = random.Random(9)
+    a, b = prose(rng, 50), prose(rng, 50)
+    rows = [(5, a, 1), (5, b, 2), (9, b, 3), (5, a, 1), (None, b, 4), (None, "only here", 5)]
+    out = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, extra int")).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(5, a, 1), (5, b, 2), (None, "only here", 5)], key=str)
+
+
+def test_op1_different_texts_under_one_id(spark, prose):
+    rng = random.Random(10)
+    passage = prose(rng, 70)
+    texts = [passage + " " + prose(rng, 30), passage + " " + prose(rng, 30), prose(rng, 30) + " " + passage]
+    df = spark.createDataFrame([(5, texts[0]), (5, texts[1]), (None, texts[2])], "doc_id long, text string")
+    out = {r["doc_id"] if r["doc_id"] is None else r["text"][:40]: r["n_removed"] for r in spans.dedup(df).collect()}
+    assert out[None] == 0 and sum(n > 0 for n in out.values()) == 2
+    df = df.filter("doc_id = 5")
+    assert sorted(r["n_removed"] > 0 for r in spans.dedup(df).collect()) == [False, True]
+
+
+def test_op1_names_that_are_taken(spark, prose):
+    df = spark.createDataFrame([(1, "a b", 7, 8, 9)], "doc_id long, text string, removed int, N_sentences int, n_removed int")
+    out = spans.dedup(df)
+    assert len({c.lower() for c in out.columns}) == 8 and out.first()["removed"] == 7
+
+
 @pytest.mark.parametrize("crowd", [1, 3, 64])
 def test_op6_links_through_crowded_blocks(spark, crowd):
     rng = random.Random(crowd)
@@ -377,7 +461,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
         docs = nxt
     (_, a, b), (_, c, d), (_, e, f), (_, g, h), (_, i, j) = seen
     assert {r["doc_id"] for r in b} <= {r["doc_id"] for r in a}
-    groups = plain_groups({r["doc_id"]: plain_fingerprint(r["text"]) for r in c})
+    groups = plain_near_groups({r["doc_id"]: r["text"] for r in c})
     assert sorted(r["doc_id"] for r in d) == sorted(set(groups.values()))
     first = {}
     for r in sorted(e, key=lambda r: r["doc_id"]):

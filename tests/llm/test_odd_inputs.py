@@ -109,3 +109,14 @@ def test_empty_vectors_and_files(spark, no_docs, tmp_path):
     assert pivot_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     token_files.write_tokens(no_docs, str(tmp_path / "t"))
     assert token_files.read_tokens(spark, str(tmp_path / "t")).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_pipeline_runs_on_odd_and_empty_tables(spark, odd_rows, labels, no_labels, no_docs, tmp_path, kind):
+    import corpus_pipeline as C
+
+    docs = spark.createDataFrame([*odd_rows, (5, "another text under one id", "en", "a", 25)], no_docs.schema) if kind == "odd" else no_docs
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    (labels if kind == "odd" else no_labels).write.parquet(str(tmp_path / "labels.parquet"))
+    out = C.run(spark, str(tmp_path)).collect()
+    assert bool(out) == (kind == "odd")
