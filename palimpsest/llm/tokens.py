@@ -36,14 +36,16 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of texts by the tokenizer in file ``path``; special tokens' strings are ordinary text."""
+    """Ids of texts by the tokenizer in file ``path``, as the library loads it."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.limit, self.cache = self.tokenizer.model, cache, {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Whether a text holds the string of an added token, as a pattern; None without such tokens.
+        self.special = "|".join(re.escape(t.content) for t in added) or None
         self.table = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.written = [k.to_bytes(4, sys.byteorder) for k in range(self.tokenizer.get_vocab_size())]
         #: Whether words' case and the spaces before them don't matter.
@@ -100,11 +102,15 @@ class Encoder:
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         # several spaces in a row are one piece with what follows: such texts are cut by the pattern alone;
-        # the lower case of U+0130 ends in a mark that joins what follows: such texts are encoded whole
+        # the lower case of U+0130 ends in a mark that joins what follows: such texts are encoded whole,
+        # and so are those with the string of an added token
         odd = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
+        alone = np.zeros(len(texts), bool)
+        if self.special:
+            alone |= pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False)
         if self.folds:
-            dotted = pc.match_substring(texts, "\u0130").to_numpy(zero_copy_only=False)
-            odd = odd | dotted
+            alone |= pc.match_substring(texts, "\u0130").to_numpy(zero_copy_only=False)
+        odd = odd | alone
         plain = texts if not odd.any() else pc.if_else(pa.array(odd), "", texts)
         split = pc.split_pattern(plain, " ")
         first = split.offsets.to_numpy()
@@ -138,8 +144,7 @@ class Encoder:
             ends, parts, last = np.cumsum(counts), [], 0
             for k in np.nonzero(odd)[0]:  # the empty stand-ins gave nothing, or one space
                 text = texts[int(k)].as_py()
-                whole = self.folds and dotted[k]
-                own = self.tokenizer.encode(text, add_special_tokens=False).ids if whole else np.frombuffer(self._chunk(text), np.uint32)
+                own = self.tokenizer.encode(text, add_special_tokens=False).ids if alone[k] else np.frombuffer(self._chunk(text), np.uint32)
                 parts += [ids[last : ends[k] - counts[k]], np.array(own, np.uint32)]
                 last, counts[k] = ends[k], len(own)
             ids = np.concatenate([*parts, ids[last:]])
