@@ -213,7 +213,8 @@ def near_links(each: DataFrame, scratch: Scratch, crowd: int = NEAR_CROWD) -> Da
     """Edges (a, b) between texts whose wide fingerprints differ in NEAR_BITS or fewer bits.
 
     ``each`` has distinct ``v`` with ``wide`` and ``keys``.  Under one key all are
-    compared.  A key with more than ``crowd`` members is dealt into tiles of
+    compared, and those that are connected give edges to the smallest of them:
+    a group has edges in proportion to its members, not to their pairs.  A key with more than ``crowd`` members is dealt into tiles of
     that size, and every tile also has the key's first members in the order of
     a hash, so near copies in different tiles meet through them or under
     another key.
@@ -232,14 +233,44 @@ def near_links(each: DataFrame, scratch: Scratch, crowd: int = NEAR_CROWD) -> Da
     hubs = first.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / crowd) - 1)).alias("t"), F.col("m.v").alias("v"))
     hubs = hubs.join(named, "v").select("k", "t", "v", "w")
     tiles = few.unionByName(hubs).groupBy("k", "t").agg(F.array_distinct(F.collect_list(F.struct("v", "w"))).alias("all"))
-    differ = lambda x, y: F.aggregate(
-        F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v
-    )
-    pairs = tiles.select("all", F.explode("all").alias("one")).select(
-        F.col("one.v").alias("a"),
-        F.explode(F.filter("all", lambda x: (x["v"] > F.col("one.v")) & (differ(x["w"], F.col("one.w")) <= NEAR_BITS))).alias("other"),
-    )
-    return pairs.select("a", F.col("other.v").alias("b")).distinct()
+    return tiles.select("all").mapInArrow(_tile_links, "a long, b long").distinct()
+
+
+def _tile_links(batches):
+    """Edges that join what is close in each tile: as many as its members, not its pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    def differ(x, y):
+        return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+    for batch in batches:
+        tiles = batch.column(0)
+        size = np.diff(tiles.offsets.to_numpy())
+        start = tiles.offsets.to_numpy()[:-1] - tiles.offsets.to_numpy()[0]
+        members = tiles.flatten()
+        v, w = members.field("v").to_numpy(), members.field("w").flatten().to_numpy().view(np.uint64).reshape(len(members), -1)
+        a, b = [], []
+        at = start[size == 2]
+        close = at[differ(w[at], w[at + 1]) <= NEAR_BITS] if len(at) else at
+        a.append(v[close])
+        b.append(v[close + 1])
+        for low, n in zip(start[size > 2], size[size > 2], strict=True):
+            x, own = w[low : low + n], v[low : low + n]
+            near = np.stack([differ(x, y) for y in x]) <= NEAR_BITS
+            left = np.ones(n, bool)
+            for k in np.argsort(own):  # the smallest member of each component names it
+                if left[k]:
+                    reach, edge = np.zeros(n, bool), np.zeros(n, bool)
+                    edge[k] = True
+                    while edge.any():
+                        reach |= edge
+                        edge = near[edge].any(axis=0) & ~reach
+                    left &= ~reach
+                    reach[k] = False
+                    a.append(np.full(int(reach.sum()), own[k]))
+                    b.append(own[reach])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
 def near_groups(docs: DataFrame, crowd: int = NEAR_CROWD) -> DataFrame:
