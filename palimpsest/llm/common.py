@@ -22,9 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` names it on a cluster.  Only where that setting is
-    missing (tests, a local shell) a folder of this application's own is used.
+    missing and the session is local (tests, a shell) a folder of this
+    application's own is used: on a cluster it would be another on every machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
@@ -54,6 +57,10 @@ class Scratch:
         self.expire(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def read(self, name: str) -> DataFrame:
+        """What was written under ``name``, read anew."""
+        return self.spark.read.parquet(self.path(name))
+
     def expire(self, name: str) -> None:
         """Delete what was written under ``name`` when the session ends."""
         path, fs = self._fs(name)
@@ -65,7 +72,6 @@ class Scratch:
             fs.delete(path, True)
 
 
-
 def fresh(taken: list[str], *wanted: str) -> list[str]:
     """Column names near ``wanted`` that do not clash with ``taken``."""
     used = {c.lower() for c in taken}

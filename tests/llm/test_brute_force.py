@@ -485,3 +485,22 @@ def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
 
 def mixing_key(r):
     return "t" if r["source"] is None else "s" + r["source"]
+
+
+def test_op4_stops_early_where_vectors_cluster(spark):
+    """On clustered vectors the bounds spare most products, and the result is exact."""
+    from palimpsest.llm.pivot_search import top_k
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = (centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 16)) * 0.004).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    q, work = np.floor(64 * x.astype(np.float64)).astype(np.int64), spark.sparkContext.accumulator(0)
+    got = {tuple(r) for r in top_k(df, work=work).collect()}
+    want = set()
+    for i in range(0, 4000, 20):
+        s = q @ q[i]
+        order = [j for j in np.lexsort((np.arange(4000), -s)) if j != i][:20]
+        want |= {(i, k + 1, int(j), int(s[j])) for k, j in enumerate(order)}
+    assert got == want and work.value < 0.5 * 4000 * 200
