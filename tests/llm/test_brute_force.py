@@ -435,14 +435,108 @@ def test_op10_held_out(spark):
     assert np.mean([p == t for _, p, t in rows]) > 0.9
 
 
+def forms(text, insults=("idiot",)):
+    from palimpsest.llm.toxicity import Lexicon, clause_outputs
+
+    return clause_outputs(Lexicon.of(insults).symbols(text))
+
+
 def test_op5_grammar_tells_contexts_apart():
+    assert forms("you idiot") == [{"insult": "aimed"}] and forms("idiot that you are") == [{"insult": "aimed"}]
+    assert forms("not an idiot") == forms("he isn’t some idiot") == [{"insult": "negated"}]
+    assert forms("they said: idiot") == [{"insult": "reported"}] and forms("an idiot walks") == [{"insult": "plain"}]
+    assert forms("kill them") == [{"threat": "aimed"}] and forms("no word of it") == []
+    # a quote holds over clauses, to the line's end
+    assert forms('"Go on. An idiot walks." And an idiot sits.\nAn idiot') == [{"insult": f} for f in ("reported", "plain", "plain")]
+    assert forms('a "stray quote\nan idiot') == [{"insult": "plain"}] and forms("oaf idiocy", ["oaf"]) == [{"insult": "plain"}]
+
+
+def plain_clauses(text, lexicon):
+    """By definition: each insult or threat by what stands around it, found by looking everywhere."""
+    from palimpsest.llm import toxicity as T
+
+    out = []
+    for line in text.lower().replace("’", "'").split("\n"):
+        tokens = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\"“”«»]", line)
+        own, clause, at, words = {}, 0, [], []
+        for t in tokens:
+            if t in ".!?;":
+                clause += 1
+            words.append((t, clause, sum(x in "\"“”«»" for x in at) % 2))
+            at.append(t)
+        said_open = {}
+        said = False
+        for k, (t, c, quoted) in enumerate(words):
+            if t in ".!?;" and not quoted:
+                said = False
+            said_open[k] = said or bool(quoted)
+            if t in T.REPORTS:
+                said = True
+        by = collections.defaultdict(list)
+        for k, (t, c, _) in enumerate(words):
+            if t not in ".!?;\"“”«»":
+                by[c].append((k, t))
+        for c, own_words in by.items():
+            found = {}
+            for i, (k, t) in enumerate(own_words):
+                kind = "insult" if any(t.startswith(s) for v in lexicon.stems.values() for s in v) or t in lexicon.words else "threat" if t in T.THREATS else None
+                if kind:
+                    before, after = [w for _, w in own_words[max(0, i - 3) : i]], [w for _, w in own_words[i + 1 : i + 4]]
+                    symbol = [lexicon.symbol(w) for w in before], [lexicon.symbol(w) for w in after]
+                    if "negation" in symbol[0]:
+                        f = "negated"
+                    elif said_open[k]:
+                        f = "reported"
+                    else:
+                        f = "aimed" if "target" in symbol[0] + symbol[1] else "plain"
+                    found.setdefault(kind, []).append(f)
+            if found:
+                out.append({kind: max(v, key=("negated", "reported", "plain", "aimed").index) for kind, v in found.items()})
+    return out
+
+
+WORDS5 = ["idiot", "kill", "you", "not", "said", '"', ".", "\n", "tree", "aren’t", "idiots", "oaf", "they"]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from(WORDS5), max_size=30).map(" ".join))
+def test_op5_machine_equals_the_definitions(text):
     from palimpsest.llm.toxicity import Lexicon, clause_outputs
 
-    lex = Lexicon.of(["idiot"])
-    out = lambda s: clause_outputs([lex.symbol(w) for w in s.split()])
-    assert out("you idiot") == ["insult_aimed"] and out("not an idiot") == ["insult_negated"]
-    assert out("he said idiot") == ["insult_reported"] and out("an idiot walks") == ["insult_plain"]
-    assert out("kill them") == ["threat_aimed"]
+    lexicon = Lexicon.of(["idiot", "oaf"])
+    assert clause_outputs(lexicon.symbols(text)) == plain_clauses(text, lexicon)
+
+
+def test_op5_whole_table_by_the_definitions(spark):
+    """Every score of a whole table from the fitted weights and the plain definitions."""
+    from palimpsest.llm import toxicity as T
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    grammar = T.fit(docs, labels)
+    arcs = T.arc_weights(grammar.weights)
+    for kind in T.KINDS:
+        assert arcs[f"{kind}_aimed"] > arcs[f"{kind}_plain"] > arcs[f"{kind}_reported"] > 0 and arcs[f"{kind}_negated"] > 0
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    order = ("negated", "reported", "plain", "aimed")
+    for r in T.score_toxicity(docs, labels, grammar).collect():
+        total = grammar.bias
+        clauses = plain_clauses(text[r["doc_id"]] or "", grammar.lexicon)
+        for k, kind in enumerate(T.KINDS):
+            own = [c[kind] for c in clauses if kind in c]
+            if own:
+                total += arcs[f"{kind}_{max(own, key=order.index)}"] + grammar.weights[4 * k + 3] * np.log1p(len(own))
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_op5_long_texts_take_linear_time():
+    import time
+
+    from palimpsest.llm.toxicity import Lexicon, features
+
+    lexicon, t = Lexicon.of(["idiot"]), time.time()
+    features("you idiot " * 100_000, lexicon)
+    assert time.time() - t < 10
 
 
 def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
