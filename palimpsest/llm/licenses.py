@@ -2,16 +2,18 @@
 
 A sparse logistic regression over word unigrams and bigrams tells licence
 families apart.  It is trained on the driver from the templates below, from
-windows of them, and from a bounded sample of the corpus's own paragraphs as
-``unknown``; a temperature fitted on left-out windows calibrates its
-probabilities.  A prediction is confirmed by comparing the paragraph with the
-family's templates.
-
-Scoring is native.  ``gate`` is the smallest set of words of which every
-training licence text has one; paragraphs without any are unknown, and a regular
-expression passes over them before anything is cut into words.  What is left is
-exploded into n-grams and joined to the weights, whose number is bounded by the
-templates, so unmatched n-grams go before any shuffle.
+windows of them, and, as ``unknown``, from near misses, from licences that are
+no family here, and from a bounded sample of the corpus's own lines.  A
+temperature calibrates its probabilities on templates and foreign licences that
+the fit has not seen, each left out as a whole.  A prediction is confirmed by
+comparing the paragraph with the family's templates, n-grams by how few families
+have them: what names a licence counts more than what all licences say.
+
+Scoring is native.  Most paragraphs are passed over by a regular expression that
+follows from the weights: it looks for the words without which no n-grams that
+are left can lift any family over ``unknown``, so it changes no result.  What is
+left is exploded into n-grams and joined to the weights, whose number is bounded
+by the templates, so unmatched n-grams go before any shuffle.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
+        "This project is MIT licensed.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -42,6 +45,8 @@ TEMPLATES = {
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
+        "Licensed under the GPLv3.",
+        "Licensed under the GPLv2 or any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "SPDX-License-Identifier: GPL-2.0-only",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
@@ -110,9 +115,24 @@ NEAR_MISSES = (
     "He studied at MIT and published a version of his work.",
     "The committee reserved all seats for the authors.",
 )
+#: Licences that are no family here, each a group of its own when the temperature is fitted.
+FOREIGN = (
+    "Licensed under the Eclipse Public License 2.0.",
+    "Released under the zlib License.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "This font is licensed under the SIL Open Font License, Version 1.1.",
+    "Licensed under the Artistic License 2.0.",
+    "This file is subject to the Common Development and Distribution License.",
+    "Licensed under the Academic Free License version 3.0.",
+    "Released under the Microsoft Public License.",
+    "This work is licensed under the Open Database License.",
+)
 UNKNOWN = "unknown"
 #: Paragraphs of the corpus that stand for ``unknown``, at most, and documents they come from.
 BACKGROUND, BACKGROUND_DOCS = 1000, 200
+#: Characters of such a line; folds of the calibration.
+LINE, FOLDS = (21, 2000), 4
 LASSO, STEPS = 4e-4, 300
 #: Least calibrated probability of a family, least agreement with a template.
 CERTAIN, AGREE = 0.5, 0.6
@@ -151,7 +171,7 @@ class Model:
     bias: list[float]
     weights: dict[str, list[float]]
     temperature: float
-    gate: list[str]
+    gate: list[str]  # a text without any of these words is unknown
 
     def scores(self, text: str) -> np.ndarray:
         total = np.array(self.bias)
@@ -166,37 +186,56 @@ def _softmax(z):
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _gate(texts: list[set[str]], common: dict[str, int]) -> list[str]:
-    """Few words, rare in the background, of which every text has one (greedy cover)."""
-    left, out = list(texts), []
-    while left:
-        words = sorted({w for t in left for w in t if " " not in w and len(w) > 1 and not w.isdigit()})
-        if not words:
-            break
-        best = max(words, key=lambda w: (sum(w in t for t in left) / (1 + common.get(w, 0)) ** 2, w))
-        out.append(best)
-        left = [t for t in left if best not in t]
+def _gate(bias: np.ndarray, weights: dict[str, list[float]], common: dict[str, int]) -> list[str]:
+    """Words of which a text has one if any family's score can be above that of UNKNOWN.
+
+    N-grams are allowed without a word of the gate, those first whose rarest
+    word is the most common in the background, as long as all of them together
+    lift no family over UNKNOWN.  Of each other n-gram the rarest word is in the gate.
+    """
+    rarest = {g: min(g.split(), key=lambda w: (common.get(w, 0), -len(w), w)) for g in weights}
+    by_word: dict[str, list[str]] = {}
+    for g, w in rarest.items():
+        by_word.setdefault(w, []).append(g)
+    reach, out = np.array(bias[:-1]) - bias[-1], []
+    for w in sorted(by_word, key=lambda w: (-common.get(w, 0), len(w), w)):
+        more = sum(np.maximum(np.array(weights[g][:-1]) - weights[g][-1], 0) for g in by_word[w])
+        if (reach + more < 0).all():
+            reach = reach + more
+        else:
+            out.append(w)
     return sorted(out)
 
 
+def _temperature(z: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature of least loss, found by thirds of a logarithmic scale; unknown
+    texts together count as much as the others, however many there are."""
+    unknown = truth == z.shape[1] - 1
+    weight = np.where(unknown, 1 / max(1, unknown.sum()), 1 / max(1, (~unknown).sum()))
+    loss = lambda c: -(weight * np.log(_softmax(z / np.exp(c))[np.arange(len(truth)), truth] + 1e-12)).sum()
+    low, high = np.log(0.1), np.log(10.0)
+    for _ in range(60):
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    return float(np.exp((low + high) / 2))
+
+
 def train(background: list[str]) -> Model:
-    """Fit to the templates' windows; every fifth one is left out for the temperature."""
+    """Fit to the templates' windows and to what is unknown; every text's temperature counts by a fit without its group."""
     families = [*TEMPLATES, UNKNOWN]
-    texts = [(w, k) for k, f in enumerate(TEMPLATES) for t in TEMPLATES[f] for w in windows(t)]
-    texts += [(t, len(TEMPLATES)) for t in (*NEAR_MISSES, *background)]
-    grams = [set(grams_of(t)) for t, _ in texts]
-    licence = [g for g, (_, k) in zip(grams, texts, strict=True) if k < len(TEMPLATES)]
-    vocabulary = sorted(set().union(*licence))
+    unknown = len(TEMPLATES)
+    texts = [(w, k, f"{f}{j}") for k, f in enumerate(TEMPLATES) for j, t in enumerate(TEMPLATES[f]) for w in windows(t)]
+    texts += [(t, unknown, t) for t in (*NEAR_MISSES, *FOREIGN, *background)]
+    grams = [set(grams_of(t)) for t, _, _ in texts]
+    vocabulary = sorted(set().union(*(g for g, (_, k, _) in zip(grams, texts, strict=True) if k < unknown)))
     column = {g: k for k, g in enumerate(vocabulary)}
     x = np.zeros((len(texts), len(vocabulary)))
     for row, own in enumerate(grams):
         for g in own & column.keys():
             x[row, column[g]] = 1
-    y = np.array([k for _, k in texts])
+    y = np.array([k for _, k, _ in texts])
     hot = np.eye(len(families))[y]
-    weight = (len(texts) / len(families)) / hot.sum(axis=0)[y]
-    weight = np.minimum(weight, 20)
-    fit, left = np.arange(len(texts)) % 5 != 4, np.arange(len(texts)) % 5 == 4
+    weight = np.minimum((len(texts) / len(families)) / hot.sum(axis=0)[y], 20)
 
     def solve(rows):
         a, h, w = x[rows], hot[rows], weight[rows] / weight[rows].sum()
@@ -214,27 +253,38 @@ def train(background: list[str]) -> Model:
             beta, bias, t = new, new_bias, t_new
         return beta, bias
 
-    beta, bias = solve(fit)
-    z, truth = x[left] @ beta + bias, y[left]
-    loss = lambda c: -np.log(_softmax(z / c)[np.arange(len(truth)), truth] + 1e-12).mean()
-    temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8), key=loss)
+    # a group (a template with its windows, or one unknown text) is in one fold
+    order = {g: k for k, g in enumerate(dict.fromkeys(g for _, _, g in texts))}
+    fold = np.array([order[g] % FOLDS for _, _, g in texts])
+    z = np.zeros((len(texts), len(families)))
+    for k in range(FOLDS):
+        beta, bias = solve(fold != k)
+        z[fold == k] = x[fold == k] @ beta + bias
+    # of a template whose words its family has nowhere else, the fit without it can know nothing
+    counts, truth = gram_weights(), y.copy()
+    for row, (own, (_, k, group)) in enumerate(zip(grams, texts, strict=True)):
+        if k < unknown:
+            rest = set().union(*(set(grams_of(t)) for j, t in enumerate(TEMPLATES[families[k]]) if f"{families[k]}{j}" != group))
+            if sum(counts[g] for g in own & rest) < sum(counts.get(g, 1.0) for g in own) / 2:
+                truth[row] = unknown
+    temperature = _temperature(z, truth)
     beta, bias = solve(np.ones(len(texts), bool))
     common: dict[str, int] = {}
-    for g, (_, k) in zip(grams, texts, strict=True):
-        if k == len(TEMPLATES):
-            for w in g:
-                common[w] = common.get(w, 0) + 1
+    for text in background:
+        for w in set(grams_of(text)):
+            common[w] = common.get(w, 0) + 1
     weights = {g: [float(v) for v in beta[k]] for g, k in column.items() if np.abs(beta[k]).max() > 1e-6}
-    return Model(families, [float(b) for b in bias], weights, float(temperature), _gate(licence, common))
+    return Model(families, [float(b) for b in bias], weights, temperature, _gate(bias, weights, common))
 
 
 def background_sample(docs: DataFrame) -> list[str]:
     """At most BACKGROUND paragraphs of at most BACKGROUND_DOCS documents picked by hash, without licence words."""
-    rows = docs.select(F.col("text")).filter(F.col("text").isNotNull()).orderBy(F.xxhash64("text")).limit(BACKGROUND_DOCS)
+    order = lambda c: (F.xxhash64(c), F.col(c))
+    rows = docs.select("text").filter(F.col("text").isNotNull()).distinct().orderBy(*order("text")).limit(BACKGROUND_DOCS)
     lines = rows.select(F.explode(F.split("text", "\n")).alias("line")).filter(
-        ~F.col("line").rlike(r"(?i)licen[cs]|copyright|permission|warrant|public domain|all rights") & (F.length("line") > 20)
+        ~F.col("line").rlike(r"(?i)licen[cs]|copyright|permission|warrant|public domain|all rights") & F.length("line").between(*LINE)
     )
-    rows = lines.select(F.substring("line", 1, 2000).alias("line")).orderBy(F.xxhash64("line")).limit(BACKGROUND).collect()
+    rows = lines.distinct().orderBy(*order("line")).limit(BACKGROUND).collect()
     known = [set(grams_of(t)) for ts in TEMPLATES.values() for t in ts]
 
     def strange(line: str) -> bool:
@@ -245,35 +295,62 @@ def background_sample(docs: DataFrame) -> list[str]:
     return sorted(x for x in (r["line"] for r in rows) if strange(x))
 
 
-def scan_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, paragraph, family, probability, agreement and confirmed of every
-    paragraph (a line of the text, from 0) that a family is predicted for.
+def gram_weights() -> dict[str, float]:
+    """What each n-gram of the templates counts in a comparison: the reciprocal of the number of families that have it."""
+    have: dict[str, set[str]] = {}
+    for f, ts in TEMPLATES.items():
+        for t in ts:
+            for g in grams_of(t):
+                have.setdefault(g, set()).add(f)
+    return {g: 1 / len(fs) for g, fs in have.items()}
+
+
+def _pattern(words: list[str]) -> str:
+    """A pattern for any of the words in a lower-case text, branched by their first characters."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    branches = "|".join(f"{c}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for c, rest in sorted(by.items()))
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{branches})(?![\p{{L}}\p{{N}}])" if words else "(?!)"
 
-    ``agreement`` is the part of the best template's n-grams that the paragraph
-    has or, from PART n-grams on, of the paragraph's that the template has.
-    Null and empty texts have no paragraphs.
+
+def scan_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, body (a hash of the text), paragraph, lines, family, probability, agreement and
+    confirmed of every paragraph that a family is predicted for.
+
+    A paragraph is a line of the text (from 0), or with ``lines`` 2 that line and
+    the next one, as notices may be wrapped.  ``agreement`` is the part of the
+    best template's n-grams that the paragraph has or, from PART n-grams on, of
+    the paragraph's that the template has, by their ``gram_weights``; n-grams of
+    no template count 1.  Null and empty texts have no paragraphs.
     """
     spark = docs.sparkSession
     model = model or train(background_sample(docs))
     known = model.families[:-1]
-    pattern = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(model.gate) + r")(?![\p{L}\p{N}])"
+    pattern = _pattern(model.gate)
+    cut = F.split("text", "\n")
+    pairs = F.zip_with(F.slice(cut, 1, F.size(cut) - 1), F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     lines = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .filter(F.col("text").rlike(pattern))
-        .select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-        .filter(F.col("line").rlike(pattern))
+        .filter(F.lower("text").rlike(pattern))
+        .select("doc_id", F.xxhash64("text").alias("body"), F.explode(F.array(F.struct(F.lit(1).alias("lines"), cut.alias("all")), F.struct(F.lit(2).alias("lines"), pairs.alias("all")))).alias("u"))
+        .select("doc_id", "body", F.col("u.lines").alias("lines"), F.posexplode("u.all").alias("paragraph", "line"))
+        .filter(F.lower("line").rlike(pattern))
     )
-    grams = lines.select("doc_id", "body", "paragraph", gram_column(F.col("line")).alias("grams"))
-    each = grams.select("doc_id", "body", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    row = ["doc_id", "body", "lines", "paragraph", "n"]
+    grams = lines.select("doc_id", "body", "lines", "paragraph", gram_column(F.col("line")).alias("grams"))
+    each = grams.select("doc_id", "body", "lines", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
 
+    counts = gram_weights()
     templates = [(k, f, grams_of(t)) for k, (f, t) in enumerate((f, t) for f in TEMPLATES for t in TEMPLATES[f])]
-    # a row for each n-gram and class that it counts for: families first, then templates
+    # a row for each n-gram and class that it counts for: families first, then templates, then the known n-grams and what they count
     shift = len(model.families)
+    some = shift + len(templates)
     rows = [(g, k, float(w)) for g, ws in model.weights.items() for k, w in enumerate(ws) if w]
-    rows += [(g, shift + k, 1.0) for k, _, own in templates for g in own]
+    rows += [(g, shift + k, counts[g]) for k, _, own in templates for g in own]
+    rows += [r for g, c in counts.items() for r in ((g, some, 1.0), (g, some + 1, c))]
     table = spark.createDataFrame(rows, "gram string, class int, value double")
     met = each.join(F.broadcast(table), "gram")  # bounded by the templates
-    row = ["doc_id", "body", "paragraph", "n"]
     sums = met.groupBy(*row, "class").agg(F.sum("value").alias("value"))
     sums = sums.groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct("class", "value"))).alias("m"))
     at = lambda c: F.coalesce(F.col("m").getItem(c), F.lit(0.0))
@@ -284,16 +361,16 @@ def scan_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
         out = F.lit(0.0)
         for k, f, own in templates:
             if f == family:
-                part = F.when(F.col("n") >= PART, at(shift + k) / F.col("n")).otherwise(F.lit(0.0))
-                out = F.greatest(out, at(shift + k) / len(own), part)
+                part = F.when(F.col("n") >= PART, at(shift + k) / F.col("all")).otherwise(F.lit(0.0))
+                out = F.greatest(out, at(shift + k) / sum(counts[g] for g in own), part)
         return out
 
     named = [F.struct(F.col("e")[k].alias("p"), F.lit(f).alias("family"), agreement(f).alias("agreement")) for k, f in enumerate(known)]
-    scored = sums.select("*", F.array(*total).alias("t"), whole.alias("whole"))
+    scored = sums.select("*", F.array(*total).alias("t"), whole.alias("whole"), (F.col("n") - at(some) + at(some + 1)).alias("all"))
     scored = scored.select("*", F.transform("t", lambda x: x / F.col("whole")).alias("e"))
-    scored = scored.select("doc_id", "body", "paragraph", F.array_max(F.array(*named)).alias("best"))
+    scored = scored.select("doc_id", "body", "paragraph", "lines", F.array_max(F.array(*named)).alias("best"))
     return scored.filter(F.col("best.p") >= CERTAIN).select(
-        "doc_id", "body", "paragraph", F.col("best.family").alias("family"), F.col("best.p").alias("probability"),
+        "doc_id", "body", "paragraph", "lines", F.col("best.family").alias("family"), F.col("best.p").alias("probability"),
         F.col("best.agreement").alias("agreement"), (F.col("best.agreement") >= AGREE).alias("confirmed"),
     )
 
@@ -302,14 +379,18 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """A row for every row of ``docs``: doc_id, family, probability, agreement,
     paragraph and n_paragraphs of its surest licence paragraph.
 
-    Only confirmed paragraphs count; the likeliest is named, then the earliest.
-    Without one the family is ``unknown`` and the other columns are null or 0.
-    Rows that repeat a doc_id and text get the same result.
+    Only confirmed paragraphs count, and pairs of lines only in texts without a
+    confirmed line; the likeliest is named, then the earliest.  Without one the
+    family is ``unknown`` and the other columns are null or 0, as for null and
+    empty texts.  Very long texts are scanned whole.  Rows that repeat a doc_id
+    and text get the same result; an empty table gives an empty one.
     """
     key, body, same = fresh(docs.columns, "key", "body", "same")
     found = scan_paragraphs(docs, model).filter("confirmed")
-    surest = F.max(F.struct("probability", "agreement", (-F.col("paragraph")).alias("back"), "family"))
-    best = found.groupBy("doc_id", "body").agg(surest.alias("b"), F.count(F.lit(1)).cast("int").alias("n_paragraphs"))
+    surest = F.max(F.struct((-F.col("lines")).alias("short"), "probability", "agreement", (-F.col("paragraph")).alias("back"), "family"))
+    count = lambda k: F.sum((F.col("lines") == k).cast("int"))
+    number = F.when(count(1) > 0, count(1)).otherwise(count(2)).cast("int")
+    best = found.groupBy("doc_id", "body").agg(surest.alias("b"), number.alias("n_paragraphs"))
     best = best.select(F.col("doc_id").alias(key), F.col("body").alias(same), "b", "n_paragraphs")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias(body))
     out = rows.join(best, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(body) == F.col(same)), "left")

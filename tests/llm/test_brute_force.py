@@ -404,6 +404,77 @@ def test_op8_expressions_agree_with_the_model(spark):
     assert r["family"] == model.families[int(p.argmax())] == "MPL-2.0" and abs(r["probability"] - p.max()) < 1e-9
 
 
+def plain_scan(text, model):
+    """(family, probability, agreement, paragraph, number) by the definitions, every line and pair of lines scored."""
+    counts, found = licenses.gram_weights(), {1: [], 2: []}
+    lines = text.split("\n") if text is not None else []
+    for size in (1, 2):
+        for at in range(len(lines) - size + 1):
+            own = licenses.grams_of(" ".join(lines[at : at + size]))
+            p = model.scores(" ".join(lines[at : at + size]))
+            best = None
+            for k, family in enumerate(model.families[:-1]):
+                agree = 0.0
+                for t in licenses.TEMPLATES[family]:
+                    known = licenses.grams_of(t)
+                    met = sum(counts[g] for g in own if g in set(known))
+                    agree = max(agree, met / sum(counts[g] for g in known))
+                    if len(own) >= licenses.PART:
+                        agree = max(agree, met / sum(counts.get(g, 1.0) for g in own))
+                best = max(best or (p[k], family, agree), (p[k], family, agree))
+            if best[0] >= licenses.CERTAIN and best[2] >= licenses.AGREE:
+                found[size].append((best[0], best[2], -at, best[1]))
+    own = found[1] or found[2]
+    if not own:
+        return ("unknown", None, None, None, 0)
+    p, agree, back, family = max(own)
+    return (family, p, agree, -back, len(own))
+
+
+def test_op8_whole_table_by_the_definitions(spark, docs):
+    rows = read_table(spark, SF, "documents")
+    model = licenses.train(licenses.background_sample(rows))
+    extra = ["Apache License, Version 2.0.", "shall be included in all copies or", "Released under the\nMIT License.", "All rights reserved.", None, "", "x\n\ny"]
+    more = spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(extra)], "doc_id long, text string")
+    out = licenses.scan(rows.select("doc_id", "text").union(more), model).collect()
+    text = {i: d["text"] for i, d in docs.items()} | {10_000 + k: t for k, t in enumerate(extra)}
+    assert len(out) == len(text)
+    for r in out:
+        want = plain_scan(text[r["doc_id"]], model)
+        assert (r["family"], r["paragraph"], r["n_paragraphs"]) == (want[0], want[3], want[4])
+        assert want[1] is None and r["probability"] is None or abs(r["probability"] - want[1]) < 1e-9 and abs(r["agreement"] - want[2]) < 1e-9
+    family = {r["doc_id"] - 10_000: r["family"] for r in out if r["doc_id"] >= 10_000}
+    assert [family[k] for k in range(3)] == ["Apache-2.0", "MIT", "MIT"]
+
+
+def test_op8_texts_it_was_not_fitted_to(spark):
+    texts = {
+        "Licensed under the Eclipse Public License v 2.0.": "unknown", "Licensed under the Sleepycat License 1.0.": "unknown",
+        "Licensed under the GNU Free Documentation License, version 1.3.": "unknown", "Distributed under the terms of the Vim License.": "unknown",
+        "The city library will license the public version of the software.": "unknown", "She may not use her driver's licence abroad.": "unknown",
+        "Released under the MIT License by its authors.": "MIT", "Code is licensed under the Apache License, Version 2.0, see below.": "Apache-2.0",
+        "Copyright 2020 Some Body. All rights reserved.": "proprietary", "It is licensed under the GNU General Public License version 3.": "GPL",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted": "BSD",
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = licenses.train(licenses.background_sample(read_table(spark, SF, "documents")))
+    out = {r["doc_id"]: r["family"] for r in licenses.scan(rows, model).collect()}
+    assert [out[k] for k in range(len(texts))] == [*texts.values()]
+
+
+def test_op8_gate_loses_no_prediction(spark):
+    """Whatever the model predicts as a family has a word of the gate: windows of templates, and words put together."""
+    model = licenses.train(licenses.background_sample(read_table(spark, SF, "documents")))
+    rng, vocabulary = random.Random(11), sorted(model.weights)
+    texts = [" ".join(w[a:b]) for ts in licenses.TEMPLATES.values() for t in ts for w in [t.split()] for a in range(len(w)) for b in range(a + 1, len(w) + 1)]
+    texts += [" ".join(rng.choices(vocabulary, k=rng.randint(1, 12))) for _ in range(3000)]
+    gate = set(model.gate)
+    for t in texts:
+        p = model.scores(t)
+        if p.max() >= licenses.CERTAIN and p.argmax() < len(p) - 1:
+            assert gate & set(licenses.grams_of(t))
+
+
 def test_op9_agrees_with_sql(spark, duck):
     out = queries.op9_source_mixing(spark, SF)
     want = duck.sql(queries.ORACLES["op9_source_mixing"])
