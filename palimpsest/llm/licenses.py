@@ -11,9 +11,10 @@ have them: what names a licence counts more than what all licences say.
 
 Scoring is native.  Most paragraphs are passed over by a regular expression that
 follows from the weights: it looks for the words without which no n-grams that
-are left can lift any family over ``unknown``, so it changes no result.  What is
-left is exploded into n-grams and joined to the weights, whose number is bounded
-by the templates, so unmatched n-grams go before any shuffle.
+are left can lift any family over ``unknown``, so it changes no result.  Of the
+others the known n-grams are kept and those go where the sum of their weights
+lifts no family over ``unknown``.  What is left is joined to the weights and
+templates, whose number is bounded.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, let
 
 # Phrases of public licences, by SPDX family.
 TEMPLATES = {
@@ -146,14 +147,20 @@ def grams_of(text: str) -> list[str]:
     return list(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]))
 
 
-def gram_column(text: Column) -> Column:
-    """The same as Spark expressions."""
+def gram_list(text: Column) -> Column:
+    """All word unigrams and bigrams of a text, lower case, as Spark expressions."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = F.transform(
-        F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b")),
-        lambda p: F.concat(p["a"], F.lit(" "), p["b"]),
-    )
-    return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())))
+
+    def both(own):
+        most = F.greatest(F.size(own) - 1, F.lit(0))
+        return F.concat(own, F.zip_with(F.slice(own, 1, most), F.slice(own, 2, most), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    return let(words, both)
+
+
+def gram_column(text: Column) -> Column:
+    """The distinct ones, as ``grams_of``."""
+    return F.array_distinct(gram_list(text))
 
 
 def windows(text: str) -> list[str]:
@@ -337,11 +344,24 @@ def scan_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
         .select("doc_id", "body", F.col("u.lines").alias("lines"), F.posexplode("u.all").alias("paragraph", "line"))
         .filter(F.lower("line").rlike(pattern))
     )
+    counts = gram_weights()
     row = ["doc_id", "body", "lines", "paragraph", "n"]
-    grams = lines.select("doc_id", "body", "lines", "paragraph", gram_column(F.col("line")).alias("grams"))
-    each = grams.select("doc_id", "body", "lines", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    # the exact scores' signs, from the few known n-grams of a paragraph: below UNKNOWN for every family is no prediction
+    hits = F.array_distinct(F.filter(gram_list(F.col("line")), lambda g: g.isin(list(counts))))
+    above = {g: [w - ws[-1] for w in ws[:-1]] for g, ws in model.weights.items()}
+    numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    # a map is searched key by key: one of maps, by the length and then by the n-gram
+    by_length: dict[int, list] = {}
+    for g, ws in above.items():
+        by_length.setdefault(len(g), []).extend((F.lit(g), numbers(ws)))
+    step = F.create_map(*[x for n, own in by_length.items() for x in (F.lit(n), F.create_map(*own))])
+    none = numbers([0.0] * len(known))
+    add = lambda total, g: F.zip_with(total, F.coalesce(step[F.length(g)][g], none), lambda x, y: x + y)
+    ahead = F.aggregate("hits", numbers(b - model.bias[-1] for b in model.bias[:-1]), add)
+    kept = lines.select("*", F.explode(F.array(hits)).alias("hits")).filter(F.exists(ahead, lambda x: x >= -1e-9))
+    grams = kept.select("doc_id", "body", "lines", "paragraph", F.size(gram_column(F.col("line"))).alias("n"), "hits")
+    each = grams.select(*row, F.explode("hits").alias("gram"))
 
-    counts = gram_weights()
     templates = [(k, f, grams_of(t)) for k, (f, t) in enumerate((f, t) for f in TEMPLATES for t in TEMPLATES[f])]
     # a row for each n-gram and class that it counts for: families first, then templates, then the known n-grams and what they count
     shift = len(model.families)
