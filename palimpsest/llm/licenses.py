@@ -286,12 +286,14 @@ def train(background: list[str]) -> Model:
 
 def background_sample(docs: DataFrame) -> list[str]:
     """At most BACKGROUND paragraphs of at most BACKGROUND_DOCS documents picked by hash, without licence words."""
-    order = lambda c: (F.xxhash64(c), F.col(c))
-    rows = docs.select("text").filter(F.col("text").isNotNull()).distinct().orderBy(*order("text")).limit(BACKGROUND_DOCS)
+    # hashes are picked before any text moves, so copies count once and the texts of a corpus stay where they are
+    texts = docs.select("text", F.xxhash64("text").alias("h")).filter(F.col("text").isNotNull())
+    picked = texts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).orderBy("h").limit(BACKGROUND_DOCS).select("h")
+    rows = texts.join(F.broadcast(picked), "h").groupBy("h").agg(F.min("text").alias("text"))
     lines = rows.select(F.explode(F.split("text", "\n")).alias("line")).filter(
         ~F.col("line").rlike(r"(?i)licen[cs]|copyright|permission|warrant|public domain|all rights") & F.length("line").between(*LINE)
     )
-    rows = lines.distinct().orderBy(*order("line")).limit(BACKGROUND).collect()
+    rows = lines.distinct().orderBy(F.xxhash64("line"), "line").limit(BACKGROUND).collect()
     known = [set(grams_of(t)) for ts in TEMPLATES.values() for t in ts]
 
     def strange(line: str) -> bool:
