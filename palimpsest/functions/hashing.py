@@ -33,15 +33,19 @@ def set_checksum(df: DataFrame, *columns: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("checksum"))
 
 
-def state_hash(df: DataFrame, key: str, value_hash: str, buckets: int = 256) -> DataFrame:
+def state_hash(df: DataFrame, key: str, value_hash: str, buckets: int = 256, fan: int = 256) -> DataFrame:
     """SHA-256 of the sorted (key, hash) pairs, by way of ``buckets`` bucket hashes.
 
-    Each bucket hashes its own sorted pairs, so no task needs them all; the top
-    hash is over one row per bucket.
+    Each bucket hashes its own sorted pairs, so no task needs them all; choose
+    ``buckets`` so that one holds some ten thousand keys.  More than ``fan`` of
+    them are hashed ``fan`` at a time, level by level, to the one at the top.
     """
     pair = F.concat(key, F.lit(":"), value_hash)
     per = df.groupBy(F.pmod(F.crc32(F.col(key).cast("binary")), F.lit(buckets)).cast("int").alias("bucket")).agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list(pair)), ","), 256).alias("h")
     )
     top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), ",")
+    while buckets > fan:
+        per = per.groupBy(F.floor(F.col("bucket") / fan).cast("int").alias("up")).agg(F.sha2(top, 256).alias("h")).withColumnRenamed("up", "bucket")
+        buckets = -(-buckets // fan)
     return per.agg(F.sha2(top, 256).alias("state_hash"))

@@ -26,6 +26,22 @@ def happened_before_hlc(a: Column, b: Column) -> Column:
     return a < b
 
 
+def hlc_tick(clock: Column, now: Column) -> Column:
+    """The next clock for an event of the clock's own node at physical time ``now``."""
+    later = now > clock["physical"]
+    return F.struct(
+        F.greatest(now, clock["physical"]).alias("physical"),
+        F.when(later, F.lit(0)).otherwise(clock["logical"] + 1).cast("long").alias("logical"), clock["node_id"].alias("node_id"),
+    )
+
+
+def hlc_receive(clock: Column, other: Column, now: Column) -> Column:
+    """The clock after a message with clock ``other`` came: after both and not before ``now``."""
+    top = F.greatest(now, clock["physical"], other["physical"])
+    at = lambda c: F.when(c["physical"] == top, c["logical"] + 1).otherwise(0)
+    return F.struct(top.alias("physical"), F.greatest(at(clock), at(other)).cast("long").alias("logical"), clock["node_id"].alias("node_id"))
+
+
 # vector clocks: MAP<node, n>, a missing node counts as 0
 
 
@@ -103,6 +119,12 @@ def or_set(tags: DataFrame, tombstones: DataFrame) -> DataFrame:
     return tags.join(tombstones.select("tag").distinct(), "tag", "left_anti").select("value").distinct()
 
 
+def or_set_state(states: DataFrame, by: str | None = None) -> DataFrame:
+    """Tags (value, tag, hlc, removed) of all replicas: once each, removed if any replica has it so."""
+    keys = [by] if by else [c for c in ("name",) if c in states.columns]
+    return states.groupBy(*keys, "value", "tag").agg(F.max("hlc").alias("hlc"), F.bool_or("removed").alias("removed"))
+
+
 def two_phase_set(ops: DataFrame) -> DataFrame:
     """Values that were added and never removed; a removed value never comes back."""
     seen = ops.groupBy("value").agg(F.bool_or(F.col("op") == "add").alias("a"), F.bool_or(F.col("op") == "remove").alias("r"))
@@ -166,7 +188,8 @@ def resolver(name: str, custom: Callable[[Column], Column] | None = None) -> Cal
 
 MERGES = {
     "LWWRegister": lww_merge, "MVRegister": mv_merge, "LWWMap": lww_map, "GCounter": g_counter, "PNCounter": pn_counter,
-    "LexicographicCounter": lexicographic_counter, "TwoPhaseSet": two_phase_set,
+    "LexicographicCounter": lexicographic_counter, "TwoPhaseSet": two_phase_set, "ORSet": or_set_state,
+    "GCounterMap": lambda s, by="key": g_counter(s, [by]), "PNCounterMap": lambda s, by="key": pn_counter(s, [by]),
 }
 
 
@@ -184,6 +207,15 @@ def merge_map(a: DataFrame, b: DataFrame, resolve: Callable[[DataFrame, str], Da
     return resolve(a.unionByName(b), by)
 
 
+def merge_gcounter_map(a: DataFrame, b: DataFrame, by: str = "key") -> DataFrame:
+    """Two maps of counters, entry by entry."""
+    return merge(["GCounterMap"] * 2, [a, b], by=by)
+
+
+def merge_pncounter_map(a: DataFrame, b: DataFrame, by: str = "key") -> DataFrame:
+    return merge(["PNCounterMap"] * 2, [a, b], by=by)
+
+
 def oplog_slice(ops: DataFrame, since: int = 0, until: int | None = None) -> DataFrame:
     out = ops.filter(F.col("idx") >= since)
     return out if until is None else out.filter(F.col("idx") < until)

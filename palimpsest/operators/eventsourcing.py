@@ -84,20 +84,30 @@ def running(events: DataFrame, delta: Column, name: str = "balance") -> DataFram
 def fold(events: DataFrame, step: Callable[[dict, dict], dict], initial: dict, schema: str) -> DataFrame:
     """State by an arbitrary Python step over each aggregate's events in order.
 
-    ``schema`` names the state's columns.  An aggregate's events pass through one
-    task, batch by batch; use the native folds where they can say it.
+    ``schema`` names the state's columns.  Events are sorted in their partitions
+    and pass through a task batch by batch: it holds one batch and one state,
+    however long an aggregate is.  Use the native folds where they can say it.
     """
     import pandas as pd
 
     fields = [c.split()[0] for c in schema.split(",")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = dict(initial)
-        for row in pdf.sort_values("sequence").to_dict("records"):
-            state = step(state, row)
-        return pd.DataFrame([{"aggregate_id": pdf["aggregate_id"].iloc[0], **{k: state.get(k) for k in fields}}])
-
-    return events.groupBy("aggregate_id").applyInPandas(run, f"aggregate_id string, {schema}")
+    def run(frames):
+        who, state, some = None, None, False
+        for pdf in frames:
+            done = []
+            for row in pdf.to_dict("records"):
+                if not some or row["aggregate_id"] != who:
+                    if some:
+                        done.append({"aggregate_id": who, **{k: state.get(k) for k in fields}})
+                    who, state, some = row["aggregate_id"], dict(initial), True
+                state = step(state, row)
+            yield pd.DataFrame(done, columns=["aggregate_id", *fields])
+        if some:
+            yield pd.DataFrame([{"aggregate_id": who, **{k: state.get(k) for k in fields}}])
+
+    dealt = events.repartition("aggregate_id").sortWithinPartitions("aggregate_id", "sequence")
+    return dealt.mapInPandas(run, f"aggregate_id string, {schema}")
 
 
 class AggregateRegistry:

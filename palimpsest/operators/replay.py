@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranges
+
 
 @dataclass(frozen=True)
 class ReplayFilter:
@@ -44,13 +46,13 @@ def iter_events(events: DataFrame, where: ReplayFilter, start_sequence: int = 0)
 def batches(events: DataFrame, size: int = 100, by: str | None = None) -> DataFrame:
     """Adds batch: numbers of ``size`` events in order of sequence, per ``by`` or over all.
 
-    Over all, events are numbered inside blocks of sequences and after the
-    counts of the blocks before, so no task holds them all.
+    Over all, events are numbered inside ranges of sequences and after the
+    counts of the ranges before, so no task holds them all.
     """
     if by:
         rank = F.row_number().over(Window.partitionBy(by).orderBy("sequence")) - 1
         return events.withColumn("batch", F.floor(rank / size))
-    dealt = events.withColumn("_block", F.floor(F.col("sequence") / 65536))
+    dealt = ranges.cut(events, "sequence", name="_block")
     sizes = dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     local = F.row_number().over(Window.partitionBy("_block").orderBy("sequence")) - 1
@@ -58,6 +60,12 @@ def batches(events: DataFrame, size: int = 100, by: str | None = None) -> DataFr
     return out.withColumn("batch", F.floor((F.col("_local") + F.col("_before")) / size)).drop("_block", "_local", "_before")
 
 
+def rate(processed: Column, started: Column, ended: Column) -> list[Column]:
+    """duration (seconds, to the microsecond) of a replay and events_per_second, 0 if it took no time."""
+    took = (F.unix_micros(ended) - F.unix_micros(started)) / 1e6
+    return [took.alias("duration"), F.when(took > 0, processed / took).otherwise(0.0).alias("events_per_second")]
+
+
 def metrics(events: DataFrame, failed: Column) -> DataFrame:
     """processed, failed, skipped (none ever is), first and last sequence of a replay."""
     return events.agg(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.hashing import set_checksum
 from ..functions.scores import CompactionLimits, compaction_score
@@ -97,8 +96,8 @@ def compaction_candidates(snapshots: DataFrame, strategy: str, preserve_recent:
     rows = scored(snapshots, strategy, limits).filter("score > 0.5")
     if preserve_recent == 0:
         return rows.filter(F.lit(False))
-    back = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("snapshot_id")))
-    return rows.withColumn("_back", back).filter(F.col("_back") > preserve_recent).drop("_back")
+    kept = rows.orderBy(F.desc("score"), F.desc("snapshot_id")).limit(preserve_recent).select("snapshot_id")
+    return rows.join(F.broadcast(kept), "snapshot_id", "left_anti")  # preserve_recent rows
 
 
 def divergence(a: DataFrame, b: DataFrame, key: str = "key", value: str = "hash") -> DataFrame:

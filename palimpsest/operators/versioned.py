@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranges
 from ..functions.intervals import interval
 from ..schema import DATA, TOMBSTONE
 
@@ -119,7 +120,7 @@ def as_of_sequence(records: DataFrame, sequence: int) -> DataFrame:
 def snapshot_at(records: DataFrame, ts, prefix: str | None = None) -> DataFrame:
     """The live keys at a moment."""
     rows = records if prefix is None else records.filter(F.col("key").startswith(prefix))
-    return live(as_of(rows, ts))
+    return live(as_of(rows, ts, with_interval=False))
 
 
 def diff(records: DataFrame, t1, t2, prefix: str | None = None, deletes_as_removed: bool = False) -> DataFrame:
@@ -208,15 +209,12 @@ def compact(records: DataFrame) -> DataFrame:
 
 def number_by(df: DataFrame, order: str, name: str) -> DataFrame:
     """``df`` with column ``name`` numbered from 1 in order of the unique column ``order``."""
-    dealt = df.drop(name).repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = dealt.groupBy("_part").count().orderBy("_part").collect()  # a row for each range
-    before, bases = 0, []
-    for r in sizes:
-        bases.append((r["_part"], before))
-        before += r["count"]
+    dealt = ranges.cut(df.drop(name), order, name="_part")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    base = dealt.sparkSession.createDataFrame(bases or [(0, 0)], "_part int, _base long")
-    return dealt.join(F.broadcast(base), "_part").withColumn(name, (local + F.col("_base")).cast("long")).drop("_part", "_base")
+    return dealt.withColumn(name, local).join(base, "_part").withColumn(name, (F.col(name) + F.col("_base")).cast("long")).drop("_part", "_base")
 
 
 def as_of_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, columns: list[str], order: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranges
+
 TUMBLING, SLIDING, SESSION, GLOBAL = "TUMBLING", "SLIDING", "SESSION", "GLOBAL"
 
 
@@ -95,11 +97,11 @@ def with_watermark_and_late(points: DataFrame, size: int, cutoff: float = 0.0, a
     """Adds watermark (running maximum of ts by arrival) and late.
 
     A global running maximum would need all rows in one task; instead arrival is
-    cut into blocks (``block`` must rise with arrival), each takes its own
-    running maximum, and the maxima of earlier blocks, a row each, are added.
+    cut into ranges, or blocks if ``block`` is given (it must rise with arrival),
+    each takes its own running maximum, and the maxima of earlier ones, a row
+    each, are added.
     """
-    block = block if block is not None else F.floor(F.col(arrival) / 65536)
-    dealt = points.withColumn("_block", block)
+    dealt = ranges.cut(points, arrival, name="_block") if block is None else points.withColumn("_block", block)
     tops = dealt.groupBy("_block").agg(F.max("ts").alias("_top"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     prior = tops.select("_block", F.max("_top").over(before).alias("_prior"))

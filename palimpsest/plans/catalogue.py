@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import hashing, scores
-from ..operators import crdt, eventlog, eventsourcing, projections, replay, snapshots, versioned, windows
+from ..operators import crdt, crdt_state, eventlog, eventsourcing, projections, replay, snapshots, versioned, windows
+from ..schema import RECORDS as RECORD_SCHEMA
 from ..schema import domain_events, events, records, replica_ops, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -766,10 +767,11 @@ def vc_concurrent(spark, d):
     )
 
 
-@query(f"WITH {OPS} SELECT key, CASE WHEN arg_max(event_type, idx) <> 'error' THEN CAST(arg_max(value, idx) AS DOUBLE) END AS value FROM o WHERE idx BETWEEN 100 AND 8999 GROUP BY 1")
+@query(f"WITH {OPS} SELECT key, CASE WHEN arg_max(event_type, idx) <> 'error' THEN CAST(arg_max(value, idx) AS DOUBLE) END AS value FROM o WHERE idx >= (SELECT max(idx) // 10 FROM o) AND idx < (SELECT max(idx) * 9 // 10 FROM o) GROUP BY 1")
 def oplog_replay(spark, d):
     kind = F.when(F.col("event_type") == "error", "delete").otherwise("set")
-    ops = crdt.oplog_slice(replica_ops(spark, d).withColumn("operation_type", kind), 100, 9000)
+    top = _top(replica_ops(spark, d), "idx")
+    ops = crdt.oplog_slice(replica_ops(spark, d).withColumn("operation_type", kind), top // 10, top * 9 // 10)
     return flat(crdt.oplog_registers(ops))
 
 
@@ -800,28 +802,134 @@ def merge_all_resolver(spark, d):
     return crdt.resolver("merge_all")(o, "key").select("key", F.array_join("value", ",").alias("value"))
 
 
+@query(f"WITH {OPS} SELECT key AS name, event_type AS value, count(*) AS tags, count(*) FILTER (WHERE event_type = 'error' AND idx % 2 = 0) AS gone FROM o GROUP BY 1, 2")
+def or_set_merge(spark, d):
+    """Two replicas know all tags; one of them has removed some."""
+    o = replica_ops(spark, d)
+    tags = o.select(F.col("key").alias("name"), F.col("event_type").alias("value"), F.concat_ws("-", "node", "idx").alias("tag"), "hlc", "idx")
+    a = tags.withColumn("removed", F.lit(False)).drop("idx")
+    b = tags.withColumn("removed", (F.col("value") == "error") & (F.col("idx") % 2 == 0)).drop("idx")
+    merged = crdt.merge(["ORSet", "ORSet"], [a, b])
+    return merged.groupBy("name", "value").agg(F.count(F.lit(1)).alias("tags"), F.count_if("removed").alias("gone"))
+
+
+def _counts(spark, d, kind):
+    o = replica_ops(spark, d).filter(F.col("event_type") != kind)
+    return o.groupBy(F.lit("c").alias("name"), "key", "node").agg(F.count(F.lit(1)).alias("count"))
+
+
+COUNTS = f"{OPS}, x AS (SELECT key, node, count(*) FILTER (WHERE event_type <> 'view') AS a, count(*) FILTER (WHERE event_type <> 'click') AS b FROM o GROUP BY 1, 2)"
+
+
+@query(f"WITH {COUNTS} SELECT key, CAST(sum(greatest(a, b)) AS BIGINT) AS value FROM x GROUP BY 1 HAVING sum(a + b) > 0")
+def merge_counter_maps(spark, d):
+    return crdt.merge_gcounter_map(_counts(spark, d, "view").drop("name"), _counts(spark, d, "click").drop("name"))
+
+
+@query(f"WITH {COUNTS} SELECT 'counter_mismatch' AS type, concat('c/', key, '/', node) AS entry, CAST(a AS VARCHAR) AS left_value, CAST(b AS VARCHAR) AS right_value FROM x WHERE a > 0 AND b > 0 AND a <> b")
+def auto_merge_conflicts(spark, d):
+    kinds = ("GCounterMap", "GCounterMap")
+    return crdt_state.auto_merge(kinds, _counts(spark, d, "view"), _counts(spark, d, "click")).conflicts
+
+
+@query("SELECT 'type_mismatch' AS type, CAST(NULL AS VARCHAR) AS entry, 'GCounter' AS left_value, 'PNCounter' AS right_value")
+def diagnose_type_clash(spark, d):
+    return crdt_state.diagnose(("GCounter", "PNCounter"), _counts(spark, d, "view"), _counts(spark, d, "click"))
+
+
+@query(f"WITH {OPS} SELECT node AS name, key, CASE event_type WHEN 'error' THEN 'N' ELSE 'P' END AS sign, node, count(*) AS count FROM o GROUP BY ALL")
+def crdt_json_counters(spark, d):
+    """A map of signed counters for each node, to JSON and back."""
+    sign = F.when(F.col("event_type") == "error", "N").otherwise("P")
+    o = replica_ops(spark, d).groupBy(F.col("node").alias("name"), "key", sign.alias("sign"), "node").agg(F.count(F.lit(1)).alias("count"))
+    return crdt_state.decode("PNCounterMap", crdt_state.encode("PNCounterMap", o))
+
+
+@query(f"WITH {OPS} SELECT node AS name, key, CAST(arg_max(event_type, idx) AS VARCHAR) AS value, arg_max(event_type, idx) = 'error' AS tombstone, arg_max(physical, idx) AS physical FROM o GROUP BY 1, 2")
+def crdt_json_registers(spark, d):
+    """A map of registers for each node, to JSON and back."""
+    last = F.max_by(F.struct(F.col("event_type").alias("value"), "hlc", (F.col("event_type") == "error").alias("tombstone")), "idx").alias("s")
+    o = replica_ops(spark, d).groupBy(F.col("node").alias("name"), "key").agg(last).select("name", "key", "s.*")
+    out = crdt_state.decode("LWWMap", crdt_state.encode("LWWMap", o))
+    return out.select("name", "key", "value", "tombstone", F.col("hlc.physical").cast("long").alias("physical"))
+
+
+@query(f"WITH {OPS} SELECT idx, greatest(physical, 1705000000000000) AS ticked, CASE WHEN 1705000000000000 > physical THEN 0 ELSE 1 END AS tick_logical, greatest(physical, 1705000000000000, 1704900000000000) AS received, CASE WHEN greatest(physical, 1705000000000000) = physical THEN 1 ELSE 0 END AS receive_logical FROM o")
+def hlc_tick_receive(spark, d):
+    now, other = F.lit(1705000000000000), F.struct(F.lit(1704900000000000).alias("physical"), F.lit(4).cast("long").alias("logical"), F.lit("x").alias("node_id"))
+    o = replica_ops(spark, d).select("idx", crdt.hlc_tick(F.col("hlc"), now).alias("t"), crdt.hlc_receive(F.col("hlc"), other, now).alias("r"))
+    number = lambda c: F.col(c).cast("int")
+    return o.select("idx", F.col("t.physical").alias("ticked"), number("t.logical").alias("tick_logical"), F.col("r.physical").alias("received"), number("r.logical").alias("receive_logical"))
+
+
+@query("SELECT epoch_us(min(time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01')) + INTERVAL '1 hour') AS earliest_end_us FROM events")
+def earliest_window_end(spark, d):
+    return flat(windows.earliest_end(windows.windowed(_points(spark, d), windows.TUMBLING, ["count"], "1 hour")))
+
+
+@query("""SELECT epoch_us(time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01')) AS window_start_us, count(*) AS count, CAST(min(value) AS DOUBLE) AS min, CAST(max(value) AS DOUBLE) AS max FROM events GROUP BY 1""")
+def time_series_1d(spark, d):
+    return flat(windows.time_series(_points(spark, d), "1 day", ("count", "min", "max")), "window_start", "count", "min", "max")
+
+
+@query(f"SELECT epoch_us(TIMESTAMP '{T1}') AS window_start_us, count(*) AS count FROM events WHERE ts >= TIMESTAMP '{T1}' AND ts < TIMESTAMP '{T1}' + INTERVAL '1 day'")
+def window_closed_early(spark, d):
+    return flat(windows.close_early(_points(spark, d), windows.TUMBLING, ["count"], _ts(T1), "1 day"), "window_start", "count")
+
+
+@query(f"WITH {LATEST} SELECT key, sequence, record_type FROM latest")
+def store_round_trip(spark, d):
+    """Records appended to a store, a put and a deletion on top, and read back without the two."""
+    from ..operators.ranges import shared_folder
+    from ..sources.store import AppendOnlyStore
+
+    store = AppendOnlyStore(spark, shared_folder(spark, "store"))
+    rows = records(spark, d)
+    store.append_table(spark.createDataFrame([], RECORD_SCHEMA).unionByName(rows.select("key", "sequence", "ts", "record_type", F.col("value").cast("string").alias("value")), allowMissingColumns=True))
+    store.put("added", {"n": 1})
+    store.delete("added")
+    return versioned.latest(store.records).filter("key <> 'added'").select("key", "sequence", "record_type")
+
+
 # snapshots
 
 
-@query(f"WITH {RECORDS} SELECT {ROW} FROM records WHERE sequence <= 700 QUALIFY row_number() OVER (PARTITION BY key ORDER BY sequence DESC) = 1")
+#: A full snapshot is taken at seven tenths of the sequences, the next one at nine tenths.
+FULL_AT, NEXT_AT = ("(SELECT max(event_id) * %d // 10 FROM events)" % k for k in (7, 9))
+
+
+def _top(df: DataFrame, column: str) -> int:
+    return df.agg(F.max(column)).first()[0] or 0
+
+
+def _cuts(spark, d):
+    r = records(spark, d)
+    top = _top(r, "sequence")
+    return r, top * 7 // 10, top * 9 // 10
+
+
+@query(f"WITH {RECORDS} SELECT {ROW} FROM records WHERE sequence <= {FULL_AT} QUALIFY row_number() OVER (PARTITION BY key ORDER BY sequence DESC) = 1")
 def snapshot_full(spark, d):
-    return flat(snapshots.capture(records(spark, d), 700), *ROW_COLUMNS)
+    r, full, _ = _cuts(spark, d)
+    return flat(snapshots.capture(r, full), *ROW_COLUMNS)
 
 
-@query(f"WITH {RECORDS} SELECT {ROW} FROM records WHERE sequence > 700 AND sequence <= 900 QUALIFY row_number() OVER (PARTITION BY key ORDER BY sequence DESC) = 1")
+@query(f"WITH {RECORDS} SELECT {ROW} FROM records WHERE sequence > {FULL_AT} AND sequence <= {NEXT_AT} QUALIFY row_number() OVER (PARTITION BY key ORDER BY sequence DESC) = 1")
 def snapshot_incremental(spark, d):
-    return flat(snapshots.capture(records(spark, d), 900, 700), *ROW_COLUMNS)
+    r, full, after = _cuts(spark, d)
+    return flat(snapshots.capture(r, after, full), *ROW_COLUMNS)
 
 
-@query(f"WITH {RECORDS} SELECT {ROW} FROM records WHERE sequence <= 900 QUALIFY row_number() OVER (PARTITION BY key ORDER BY sequence DESC) = 1")
+@query(f"WITH {RECORDS} SELECT {ROW} FROM records WHERE sequence <= {NEXT_AT} QUALIFY row_number() OVER (PARTITION BY key ORDER BY sequence DESC) = 1")
 def snapshot_restore(spark, d):
-    r = records(spark, d)
-    return flat(snapshots.restore([snapshots.capture(r, 700), snapshots.capture(r, 900, 700)]), *ROW_COLUMNS)
+    r, full, after = _cuts(spark, d)
+    return flat(snapshots.restore([snapshots.capture(r, full), snapshots.capture(r, after, full)]), *ROW_COLUMNS)
 
 
-@query(f"WITH {RECORDS} SELECT count(*) AS record_count, count(DISTINCT key) AS key_count FROM records WHERE sequence <= 700")
+@query(f"WITH {RECORDS} SELECT count(*) AS record_count, count(DISTINCT key) AS key_count FROM records WHERE sequence <= {FULL_AT}")
 def snapshot_counts(spark, d):
-    return snapshots.describe(records(spark, d), 700)
+    r, full, _ = _cuts(spark, d)
+    return snapshots.describe(r, full)
 
 
 #: Orders stand for snapshots here: an id, a kind, a sequence, sizes and an age.
@@ -891,14 +999,16 @@ def commit_indexes(spark, d):
     return n.select("region", scores.commit_index(F.col("m")).alias("commit_index"))
 
 
-ANTI = f"WITH {RECORDS}, h AS (SELECT key, sequence, sha256({CANON}) AS hash FROM records), a AS (SELECT key, arg_max(hash, sequence) AS h FROM h WHERE sequence <= 300 GROUP BY 1), b AS (SELECT key, arg_max(hash, sequence) AS h FROM h WHERE sequence > 100 AND sequence <= 350 GROUP BY 1)"
+ANTI = f"WITH {RECORDS}, h AS (SELECT key, sequence, sha256({CANON}) AS hash FROM records), a AS (SELECT key, arg_max(hash, sequence) AS h FROM h WHERE sequence <= {NEXT_AT} GROUP BY 1), b AS (SELECT key, arg_max(hash, sequence) AS h FROM h WHERE sequence > (SELECT max(event_id) // 10 FROM events) GROUP BY 1)"
 
 
 @query(ANTI + " SELECT coalesce(a.key, b.key) AS key, a.h AS left_hash, b.h AS right_hash, CASE WHEN a.h IS NULL THEN 'missing_left' WHEN b.h IS NULL THEN 'missing_right' ELSE 'different' END AS divergence FROM a FULL OUTER JOIN b ON a.key = b.key WHERE a.h IS DISTINCT FROM b.h")
 def anti_entropy_diff(spark, d):
     r = _checked(spark, d).select("key", "sequence", F.col("checksum").alias("hash"))
-    a = versioned.latest(r.filter("sequence <= 300"))
-    b = versioned.latest(r.filter("sequence > 100 and sequence <= 350"))
+    # one replica has not got the last tenth yet, the other never had the first
+    top = _top(r, "sequence")
+    a = versioned.latest(r.filter(F.col("sequence") <= top * 9 // 10))
+    b = versioned.latest(r.filter(F.col("sequence") > top // 10))
     return snapshots.divergence(a, b)
 
 
@@ -907,12 +1017,8 @@ def anti_entropy_diff(spark, d):
 
 @query("SELECT user_id, epoch_us(time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01')) AS window_start_us, median(value) AS middle FROM events GROUP BY ALL")
 def udaf_median(spark, d):
-    @F.pandas_udf("double")
-    def middle(v: pd.Series) -> float:
-        return float(v.median())
-
     p = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_id").alias("arrival"))
-    out = p.groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(middle("value").alias("middle"))
+    out = p.groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.median("value").alias("middle"))
     return flat(out.select("user_id", F.col("w.start").alias("window_start"), "middle"))
 
 

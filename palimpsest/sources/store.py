@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import json
 import struct
+import threading
+import time
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +24,13 @@ class AppendOnlyStore:
     """Versions under ``path``; every append is one atomic Spark write.
 
     Values are JSON strings.  Sequences continue after the highest one in the
-    store; within an append they follow the given order.
+    store; within an append they follow the given order.  Writers take turns:
+    an append holds a lock file beside the store while it numbers and writes.
+    A writer that died leaves it behind; ``unlock`` removes it.
     """
 
+    _turn = threading.Lock()
+
     def __init__(self, spark: SparkSession, path: str, create_if_missing: bool = True, segment_records: int = SEGMENT_RECORDS):
         self.spark, self.path, self.segment_records = spark, path, segment_records
         if create_if_missing and not self._exists():
@@ -32,6 +40,31 @@ class AppendOnlyStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    @contextmanager
+    def _lock(self, timeout: float = 120.0):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}._lock")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        until = time.monotonic() + timeout
+        with self._turn:  # threads of this process; the file keeps other processes out
+            while True:
+                try:
+                    fs.create(path, False).close()  # fails if it is there
+                    break
+                except Py4JJavaError:
+                    if time.monotonic() > until:
+                        raise TimeoutError(f"another writer holds {self.path}._lock") from None
+                    time.sleep(0.05)
+            try:
+                yield
+            finally:
+                fs.delete(path, False)
+
+    def unlock(self) -> None:
+        """Remove the lock of a writer that died."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}._lock")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+
     @property
     def records(self) -> DataFrame:
         return self.spark.read.schema(RECORDS).parquet(self.path)
@@ -41,6 +74,10 @@ class AppendOnlyStore:
 
     def append(self, rows: list[tuple], ts=None) -> None:
         """Append (key, value, record_type, headers) tuples; values are any JSON."""
+        with self._lock():
+            self._append(rows, ts)
+
+    def _append(self, rows: list[tuple], ts) -> None:
         top = self.records.agg(F.max("sequence")).first()[0]
         top = 0 if top is None else top
         data = [(k, top + n + 1, None if v is None else json.dumps(v, sort_keys=True, default=str), t, h) for n, (k, v, t, h) in enumerate(rows)]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import shared_folder
 from ..operators.windows import aggregate, window_column
 
 ON_CLOSE, ON_WATERMARK, ON_EVERY_EVENT, ON_COUNT, ON_TIMEOUT = "ON_CLOSE", "ON_WATERMARK", "ON_EVERY_EVENT", "ON_COUNT", "ON_TIMEOUT"
@@ -15,8 +15,7 @@ ON_CLOSE, ON_WATERMARK, ON_EVERY_EVENT, ON_COUNT, ON_TIMEOUT = "ON_CLOSE", "ON_W
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for checkpoints and sinks where all machines see it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, name)
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:

@@ -278,3 +278,67 @@ def test_produce_batch_and_repository(spark):
 def test_close_early(spark):
     out = windows.close_early(points(spark, [0, 4, 5]), windows.TUMBLING, ["count"], at(0), "5 seconds")
     assert [r["count"] for r in out.collect()] == [2]
+
+
+def test_snapshot_at_has_no_window(spark):
+    from palimpsest.operators import versioned
+    from palimpsest.schema import records
+
+    plan = versioned.snapshot_at(records(spark, "/root/testdata/sf0.001"), "2024-01-10")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_sparse_ids_keep_no_window_over_rows(spark):
+    """Ids far apart: batches and watermarks are those of dense ids, and one row a range is all that one task sees."""
+    from palimpsest.operators import replay, windows
+
+    rows = spark.range(0, 5000).select((F.col("id") * 10**12).alias("sequence"), F.timestamp_seconds(F.col("id") % 1000).alias("ts"))
+    out = {r["sequence"] // 10**12: r["batch"] for r in replay.batches(rows, 100).collect()}
+    assert out == {k: k // 100 for k in range(5000)}
+    marks = windows.with_watermark_and_late(rows.withColumnRenamed("sequence", "arrival"), 60).collect()
+    assert all(r["watermark"].timestamp() == min(r["arrival"] // 10**12, 999) for r in marks)
+
+
+def test_json_of_every_type_comes_back(spark):
+    from palimpsest.operators import crdt_state
+
+    hlc = "struct<physical:double,logical:bigint,node_id:string>"
+    at = (1.5, 2, "n")
+    states = {
+        "LWWRegister": ([("a", "x", at, False), ("b", None, at, True)], f"name string, value string, hlc {hlc}, tombstone boolean"),
+        "MVRegister": ([("a", "x", at, False), ("a", "y", at, False)], f"name string, value string, hlc {hlc}, tombstone boolean"),
+        "LWWMap": ([("a", "k", "x", at, False), ("a", "l", None, at, True)], f"name string, key string, value string, hlc {hlc}, tombstone boolean"),
+        "ORSet": ([("a", "x", "t1", at, False), ("a", "x", "t2", at, True)], f"name string, value string, tag string, hlc {hlc}, removed boolean"),
+        "TwoPhaseSet": ([("a", "x", "add"), ("a", "x", "remove"), ("a", "y", "add")], "name string, value string, op string"),
+        "GCounter": ([("a", "n1", 3), ("a", "n2", 4)], "name string, node string, count long"),
+        "PNCounter": ([("a", "P", "n1", 3), ("a", "N", "n1", 4)], "name string, sign string, node string, count long"),
+        "GCounterMap": ([("a", "k", "n1", 3), ("a", "l", "n1", 4)], "name string, key string, node string, count long"),
+        "PNCounterMap": ([("a", "k", "P", "n1", 3), ("a", "l", "N", "n1", 4)], "name string, key string, sign string, node string, count long"),
+        "LexicographicCounter": ([("a", 5, "n1")], "name string, counter long, node_id string"),
+    }
+    for kind, (rows, schema) in states.items():
+        df = spark.createDataFrame(rows, schema)
+        back = crdt_state.decode(kind, crdt_state.encode(kind, df))
+        assert sorted(map(tuple, back.select(*df.columns).collect()), key=str) == sorted(map(tuple, df.collect()), key=str), kind
+    assert crdt_state.decode("GCounter", spark.createDataFrame([("a", '{"type":"pn_counter"}')], "name string, state string")).count() == 0
+
+
+def test_auto_merge_tells_what_went_wrong(spark):
+    from palimpsest.operators import crdt_state
+
+    a = spark.createDataFrame([("c", "n1", 3)], "name string, node string, count long")
+    b = spark.createDataFrame([("c", "n1", 5), ("c", "n2", 1)], a.schema)
+    good = crdt_state.auto_merge(("GCounter", "GCounter"), a, b)
+    assert good.success and good.merged.first()["value"] == 6 and [tuple(r) for r in good.conflicts.collect()] == [("counter_mismatch", "c/n1", "3", "5")]
+    clash = crdt_state.auto_merge(("GCounter", "ORSet"), a, b)
+    assert not clash.success and clash.merged is None and "GCounter" in clash.errors[0]
+    assert not crdt_state.auto_merge(("ORSet", "ORSet"), a, b).success
+
+
+def test_state_hash_by_levels(spark):
+    from palimpsest.functions import hashing
+
+    df = spark.range(300).select(F.col("id").cast("string").alias("key"), F.md5(F.col("id").cast("string")).alias("hash"))
+    one = [hashing.state_hash(x, "key", "hash", buckets=64, fan=4).first()[0] for x in (df, df.orderBy(F.desc("id")))]
+    other = hashing.state_hash(df.filter("id <> 7"), "key", "hash", buckets=64, fan=4).first()[0]
+    assert one[0] == one[1] != other

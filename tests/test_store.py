@@ -93,3 +93,12 @@ def test_output_modes():
     assert streaming.output_mode("ON_CLOSE") == "append" and streaming.output_mode("ON_EVERY_EVENT") == "update"
     with pytest.raises(ValueError):
         streaming.output_mode("NEVER")
+
+
+def test_writers_take_turns(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = sources.AppendOnlyStore(spark, str(tmp_path / "shared"))
+    with ThreadPoolExecutor(5) as pool:
+        list(pool.map(lambda w: [store.put(f"w{w}-{k}", k) for k in range(4)], range(5)))
+    assert sorted(r["sequence"] for r in store.records.collect()) == list(range(1, 21))
