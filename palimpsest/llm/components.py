@@ -24,7 +24,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     live = scratch.write(both.filter("a <> b").distinct(), "edges0")
-    known, k = None, 0
+    known, held, k = None, "", 0
     while not live.isEmpty():
         prior = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)), F.col(c))  # noqa: B023, E731
         best = live.groupBy("a").agg(F.min(prior("b")).alias("p"))
@@ -36,12 +36,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         moved = live.join(to("a"), "a").join(to("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
         nxt = scratch.write(moved.filter("a <> b").distinct(), f"edges{k + 1}")
         if known is None:
-            known = picks
+            known, held = picks, f"picks{k}"
         else:
             step = picks.select(F.col("node").alias("root"), F.col("root").alias("next"))
             known = scratch.write(
                 known.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), f"known{k}"
             )
+            scratch.drop(held, f"picks{k}")
+            held = f"known{k}"
         scratch.drop(f"edges{k}")
         live, k = nxt, k + 1
     return known if known is not None else live.select(F.col("a").alias("node"), F.col("b").alias("root"))

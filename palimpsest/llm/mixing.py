@@ -23,6 +23,8 @@ from .common import Scratch, fresh, word_count
 WEIGHTS = (3, 1, 2)
 #: The mix holds this part of all sizes, and at most CAP times a source.
 SHARE, CAP = Fraction(3, 2), 2
+#: Up to so many sources the plan, under 100 bytes a source, is broadcast.
+BROADCAST = 100_000
 HASH_BITS, LEVEL_BITS = 60, 10
 
 
@@ -84,7 +86,7 @@ def thresholds(sized: DataFrame, plan: list[Target]) -> dict[str, int]:
     schema = "key string, prefix long, before long, budget double"
     while state and shift > 0:
         open_rows = [(k, p, b, budget[k]) for k, (p, b) in state.items()]
-        edge = F.broadcast(spark.createDataFrame(open_rows, schema))  # one row per source
+        edge = _small(spark.createDataFrame(open_rows, schema), len(open_rows))
         inside = sized.join(edge, "key").filter(F.shiftright("hash", shift) == F.col("prefix"))
         shift -= LEVEL_BITS
         hist = inside.groupBy("key", "before", "budget", F.shiftright("hash", shift).alias("bucket")).agg(
@@ -119,10 +121,15 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
+def _small(table: DataFrame, sources: int) -> DataFrame:
+    """``table``, a row for each source, to be broadcast if there are no more than BROADCAST; beyond that Spark joins by its size."""
+    return F.broadcast(table) if sources <= BROADCAST else table
+
+
 def _plan_table(spark, plan: list[Target], limit: dict[str, int]) -> DataFrame:
     schema = T.StructType.fromDDL("key string, source_size long, target double, copies int, threshold long")
     rows = [(t.key, t.size, t.target, t.copies, limit[t.key]) for t in plan]
-    return F.broadcast(spark.createDataFrame(rows, schema))  # one row per source
+    return _small(spark.createDataFrame(rows, schema), len(rows))
 
 
 def _solve(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
@@ -164,7 +171,7 @@ def mix(docs: DataFrame) -> DataFrame:
     )
     out = docs.withColumns({key: source_key(F.col("source")), h: content_hash(F.col("doc_id"), F.col("text"))})
     times = F.col(copies) + (F.col(h) < F.col(threshold)).cast("int")
-    out = out.join(F.broadcast(table), key).withColumn(n, F.explode(F.array_repeat(F.lit(1), times)))
+    out = out.join(table, key).withColumn(n, F.explode(F.array_repeat(F.lit(1), times)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -126,7 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> RuleEnsemble
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, model: RuleEnsemble | None = None) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; null texts score as empty ones."""
+    """doc_id, held_out, score and predicted of every row; null texts score as empty ones.
+
+    Very long texts are read whole.  Rows that repeat a doc_id each keep their
+    row, and equal texts get equal scores.  An empty table gives an empty one.
+    """
     model = model or fit(docs, labels)
     named = ratios(F.col("s"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base_stats(F.col("text")).alias("s"))

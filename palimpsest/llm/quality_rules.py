@@ -3,7 +3,8 @@
 Sequential covering: rules are conjunctions of thresholds that cover rejected
 documents.  Each is grown on two thirds of the labelled sample by the best gain
 in information, pruned from its end on the other third, kept if it is precise
-there, and what it covers is taken out before the next one is grown.  The list
+on all labelled rows that are left, and what it covers is taken out before the
+next one is grown.  The list
 is emitted as one ordered conditional expression, so scoring is JVM code.
 """
 
@@ -128,7 +129,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stats: str = "stats", rule:
     ``rule`` is 0 for rows that the base thresholds reject (under ten words, or
     over a fifth of the words in repeated five-word windows), the number of the
     learned rule, or null for kept rows.  Null and empty texts have no words and
-    fall to the base thresholds.  Without labels only those apply.
+    fall to the base thresholds; very long ones are read whole.  Every row is
+    judged by itself, so repeated rows get the same rule.  Without labels only
+    the base thresholds apply; an empty table gives an empty one.
     """
     names, rules = fit(docs, labels)
     out = docs.withColumn(stats, base_stats(F.col("text")))

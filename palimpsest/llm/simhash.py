@@ -134,6 +134,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD) -> DataF
     are null, empty or white space all have fingerprint zero and are linked like
     any other; rows that repeat a doc_id each keep their row; null ids are in
     components without naming them, so a component of null ids alone has none.
+    Very long texts are read whole; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")

@@ -506,6 +506,49 @@ def test_op10_held_out(spark):
     assert np.mean([p == t for _, p, t in rows]) > 0.9
 
 
+def plain_ratio_rows(spark, table):
+    from palimpsest.llm.textstats import base_stats, ratios
+    from pyspark.sql import functions as F
+
+    stats = table.select("doc_id", base_stats(F.col("text")).alias("s"))
+    named = ratios(F.col("s"))
+    rows = stats.select("doc_id", "s", *[v.alias(k) for k, v in named.items()]).collect()
+    return rows, [*named]
+
+
+def test_op10_whole_table_by_the_rules(spark):
+    """Every score of a whole table from the fitted rules, a row and a rule at a time."""
+    from palimpsest.llm import quality_model
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    model = quality_model.fit(docs, labels)
+    rows, names = plain_ratio_rows(spark, docs)
+    want = {}
+    for r in rows:
+        total = model.bias
+        for weight, rule in model.rules:
+            total += weight * all((r[names[c.feature]] > c.cut) == c.above for c in rule)
+        want[r["doc_id"]] = 1 / (1 + np.exp(-total))
+    out = quality_model.score_quality(docs, labels, model).collect()
+    assert model.rules and len(out) == len(want)
+    assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-9 and r["predicted"] == (r["score"] >= 0.7) for r in out)
+
+
+def test_op3_verdict_of_a_whole_table_by_the_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    names, rules = quality_rules.fit(docs, labels)
+    rows, _ = plain_ratio_rows(spark, docs)
+    want = {}
+    for r in rows:
+        base = r["s"]["n_words"] < 10 or 100 * r["s"]["n_repeat_words"] > 20 * r["s"]["n_words"]
+        hit = [k for k, rule in enumerate(rules, 1) if all((r[names[c.feature]] > c.cut) == c.above for c in rule)]
+        want[r["doc_id"]] = 0 if base else hit[0] if hit else None
+    out = queries.op3_quality_rules(spark, sf).collect()
+    assert rules and {r["doc_id"]: r["rule"] for r in out} == want and all(r["kept"] == (r["rule"] is None) for r in out)
+
+
 def forms(text, insults=("idiot",)):
     from palimpsest.llm.toxicity import Lexicon, clause_outputs
 
