@@ -220,32 +220,53 @@ def number_by(df: DataFrame, order: str, name: str) -> DataFrame:
 def as_of_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, columns: list[str], order: str) -> DataFrame:
     """For each row of ``left`` the last row of ``right`` of the same key at or before its time.
 
-    Both sides are put in one stream per key, ordered by time; a window carries
-    the last right row forward.  One shuffle, no range join.  ``order`` names a
-    right column that orders equal times.
+    Both sides are put in one stream ordered by key and time and cut into
+    ranges, so a key with many rows is many ranges.  A window carries the last
+    right row forward inside a range; what a range begins with is the last right
+    row of the key's ranges before, a row for each key and range.  ``order``
+    names a right column that orders equal times.
     """
     payload = F.struct(*[F.col(c) for c in columns])
     l_rows = left.select(F.col(by).alias("_by"), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_o"), F.struct(*left.columns).alias("_l"))
     r_rows = right.select(F.col(by).alias("_by"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.col(order).cast("long").alias("_o"), payload.alias("_r"))
-    both = l_rows.unionByName(r_rows, allowMissingColumns=True)
-    upto = Window.partitionBy("_by").orderBy("_ts", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    both = ranges.cut(l_rows.unionByName(r_rows, allowMissingColumns=True), "_by", "_ts", "_side", "_o")
+    tails = both.groupBy("_by", "_range").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_ts", "_o"))).alias("_tail"))
+    earlier = Window.partitionBy("_by").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    tails = tails.select("_by", "_range", F.last("_tail", ignorenulls=True).over(earlier).alias("_before"))
+    upto = Window.partitionBy("_range", "_by").orderBy("_ts", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_r", F.last("_r", ignorenulls=True).over(upto)).filter(F.col("_side") == 1)
-    return out.select("_l.*", *[F.col(f"_r.{c}").alias(f"right_{c}") for c in columns])
+    same = F.col("x._by").eqNullSafe(F.col("y._by")) & (F.col("x._range") == F.col("y._range"))
+    out = out.alias("x").join(tails.filter("_before is not null").alias("y"), same, "left").withColumn("_m", F.coalesce("_r", "_before"))
+    return out.select("_l.*", *[F.col(f"_m.{c}").alias(f"right_{c}") for c in columns])
+
+
+#: Each level's buckets are so many times longer than the level's before; the last level's are LONGEST.
+WIDER, LONGEST = 16, 1 << 62
 
 
 def interval_overlaps(left: DataFrame, right: DataFrame, by: str, bucket_us: int) -> DataFrame:
     """Pairs of rows of the same key whose [start_us, end_us] meet.
 
-    Intervals are listed in every time bucket they touch and joined on key and
-    bucket, which stays an equi-join however long the history; a pair is kept
+    An interval's level is the first whose buckets are at least as long as it,
+    so it touches two buckets at most there and on every level above.  It is
+    listed in those and joined on key, level and bucket, an equi-join however
+    long intervals or histories are; a pair meets on the higher of its levels,
     in the first bucket that both touch.
     """
+    lengths = [bucket_us]
+    while lengths[-1] < LONGEST:
+        lengths.append(min(lengths[-1] * WIDER, LONGEST))
+
     def dealt(df, tag):
-        lo, hi = F.floor(F.col("start_us") / bucket_us), F.floor(F.col("end_us") / bucket_us)
+        long = F.col("end_us") - F.col("start_us")
+        own = sum((long > F.lit(x)).cast("int") for x in lengths[:-1])
         cols = [F.col(c).alias(f"{tag}_{c}") for c in df.columns if c != by]
-        return df.select(by, *cols, F.explode(F.sequence(lo, hi)).alias("bucket"))
-
-    a, b = dealt(left, "a"), dealt(right, "b")
-    hit = (F.col("a_start_us") <= F.col("b_end_us")) & (F.col("b_start_us") <= F.col("a_end_us"))
-    once = F.col("bucket") == F.floor(F.greatest("a_start_us", "b_start_us") / bucket_us)
-    return a.join(b, [by, "bucket"]).filter(hit & once).drop("bucket")
+        size = F.element_at(F.array(*[F.lit(x).cast("long") for x in lengths]), F.col("level") + 1)
+        out = df.withColumn("own", own).withColumn("level", F.explode(F.sequence("own", F.lit(len(lengths) - 1))))
+        touched = F.sequence(F.floor(F.col("start_us") / size), F.floor(F.col("end_us") / size))
+        return out.select(by, *cols, "level", (F.col("own") == F.col("level")).alias(f"{tag}_own"), size.alias("size"), F.explode(touched).alias("bucket"))
+
+    a, b = dealt(left.filter("start_us <= end_us"), "a"), dealt(right.filter("start_us <= end_us"), "b").drop("size")
+    hit = (F.col("a_start_us") <= F.col("b_end_us")) & (F.col("b_start_us") <= F.col("a_end_us")) & (F.col("a_own") | F.col("b_own"))
+    once = F.col("bucket") == F.floor(F.greatest("a_start_us", "b_start_us") / F.col("size"))
+    return a.join(b, [by, "level", "bucket"]).filter(hit & once).drop("level", "bucket", "size", "a_own", "b_own")

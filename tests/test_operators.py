@@ -342,3 +342,29 @@ def test_state_hash_by_levels(spark):
     one = [hashing.state_hash(x, "key", "hash", buckets=64, fan=4).first()[0] for x in (df, df.orderBy(F.desc("id")))]
     other = hashing.state_hash(df.filter("id <> 7"), "key", "hash", buckets=64, fan=4).first()[0]
     assert one[0] == one[1] != other
+
+
+def test_interval_overlaps_of_all_lengths(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k % 2, k, a, a + int(10 ** rng.uniform(0, 15))) for k in range(160) for a in [rng.randrange(10**14)]] + [(0, 900, 5, 5), (1, 901, 9, 3)]
+    df = spark.createDataFrame(rows, "key int, n long, start_us long, end_us long")
+    out = sorted((r["a_n"], r["b_n"]) for r in versioned.interval_overlaps(df, df, "key", 1_000_000).collect())
+    assert out == sorted((x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[2] <= x[3] and y[2] <= y[3] and x[2] <= y[3] and y[2] <= x[3])
+
+
+def test_as_of_join_of_a_hot_key(spark):
+    import random
+
+    rng = random.Random(4)
+    left = [("hot" if rng.random() < 0.8 else rng.choice("abc"), k, rng.randrange(500)) for k in range(400)]
+    right = [("hot" if rng.random() < 0.8 else rng.choice("abd"), k, rng.randrange(500)) for k in range(300)]
+    out = versioned.as_of_join(
+        spark.createDataFrame(left, "key string, id long, at long").repartition(5), spark.createDataFrame(right, "key string, id long, at long").repartition(3),
+        "key", "at", "at", ["id"], "id",
+    ).collect()
+    assert len(out) == len(left)
+    for r in out:
+        known = [(x[2], x[1]) for x in right if x[0] == r["key"] and x[2] <= r["at"]]
+        assert r["right_id"] == (max(known)[1] if known else None)
