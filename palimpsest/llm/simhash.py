@@ -215,10 +215,11 @@ def near_links(each: DataFrame, scratch: Scratch, crowd: int = NEAR_CROWD) -> Da
 
     ``each`` has distinct ``v`` with ``wide`` and ``keys``.  Under one key all are
     compared, and those that are connected give edges to the smallest of them:
-    a group has edges in proportion to its members, not to their pairs.  A key with more than ``crowd`` members is dealt into tiles of
-    that size, and every tile also has the key's first members in the order of
-    a hash, so near copies in different tiles meet through them or under
-    another key.
+    a group has edges in proportion to its members, not to their pairs.  A key
+    with more than ``crowd`` members is dealt into tiles of that size, and every
+    tile also has the key's first member in the order of a hash, through which
+    most near copies in different tiles meet; ``crossing_links`` finds the rest
+    in the tables ``met`` and ``words`` that are left in ``scratch``.
     """
     rows = each.select("v", F.explode("keys").alias("k"))
     sizes = scratch.write(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
@@ -237,6 +238,54 @@ def near_links(each: DataFrame, scratch: Scratch, crowd: int = NEAR_CROWD) -> Da
     return tiles.select("all").mapInArrow(_tile_links, "a long, b long").distinct()
 
 
+def crossing_links(met: DataFrame, named: DataFrame, roots: DataFrame, scratch: Scratch, crowd: int) -> DataFrame:
+    """Edges between roots that links under crowded keys join and tiles did not.
+
+    Under a key with more than ``crowd`` members, those outside the largest
+    component so far are compared with all members.  Two members of different
+    components cannot both be in the largest, so with the links of the tiles
+    this is every link under every key.  Where a key's members are one
+    component, as a group of near copies is, nothing is left to compare.  Both
+    sides are dealt into parts of ``crowd``; a block is one part of each.
+    """
+    many = met.filter(F.col("n") > crowd).join(roots.select("v", "root"), "v", "left")
+    many = many.select("k", "v", "n", F.coalesce("root", "v").alias("r"))
+    sizes = many.groupBy("k", "n", "r").agg(F.count(F.lit(1)).alias("m"))
+    split = sizes.groupBy("k").agg(F.max(F.struct("m", "r")).alias("top"), F.first("n").alias("n")).filter(F.col("top.m") < F.col("n"))
+    split = split.select("k", F.col("top.r").alias("top"), (F.col("n") - F.col("top.m")).alias("rest"))
+    left = scratch.write(many.join(split, "k").join(named, "v"), "left")
+    order = F.xxhash64("v", "k")
+    tiles, parts = F.ceil(F.col("n") / crowd), F.ceil(F.col("rest") / crowd)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    all_of = left.select("k", F.pmod(order, tiles).alias("t"), numbers(parts).alias("s"), F.lit(False).alias("asks"), "v", "r", "w")
+    askers = left.filter("r <> top")
+    askers = askers.select("k", numbers(tiles).alias("t"), F.pmod(order, parts).alias("s"), F.lit(True).alias("asks"), "v", "r", "w")
+    blocks = all_of.unionByName(askers).groupBy("k", "t", "s").agg(F.collect_list(F.struct("asks", "r", "w")).alias("all"))
+    return blocks.select("all").mapInArrow(_block_links, "a long, b long").distinct()
+
+
+def _block_links(batches):
+    """Edges (root, root) that some pair of an asker and a member joins, each once a block."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for block in batch.column(0):
+            members = block.values
+            asks = members.field("asks").to_numpy(zero_copy_only=False)
+            r, w = members.field("r").to_numpy(), members.field("w").flatten().to_numpy().view(np.uint64).reshape(len(members), -1)
+            others, theirs = w[~asks], r[~asks]
+            for x, own in zip(w[asks], r[asks], strict=True):
+                close = np.bitwise_count(others ^ x).sum(axis=-1, dtype=np.int64) <= NEAR_BITS
+                met = np.unique(theirs[close & (theirs != own)])
+                a.append(np.full(len(met), own))
+                b.append(met)
+        pairs = np.stack([np.concatenate(a), np.concatenate(b)])
+        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["a", "b"])
+
+
 def _tile_links(batches):
     """Edges that join what is close in each tile: as many as its members, not its pairs."""
     import numpy as np
@@ -278,6 +327,9 @@ def near_groups(docs: DataFrame, crowd: int = NEAR_CROWD) -> DataFrame:
     """doc_id, v (a hash of the text's lower-cased words) and root of every row of ``docs``:
     near copies by NEAR_SHINGLE words at a similarity of NEAR or more share a root.
 
+    The groups are the components of all pairs that share a key and differ in
+    NEAR_BITS or fewer bits, whatever number of texts is under a key.
+
     Texts with the same words are one vertex from the start; null and empty
     texts have the same, empty, words.  Rows that repeat a doc_id, and rows
     without one, each keep their row.  An empty table gives an empty one.
@@ -287,7 +339,18 @@ def near_groups(docs: DataFrame, crowd: int = NEAR_CROWD) -> DataFrame:
     texts = scratch.write(each.select("v", "wide", "keys").dropDuplicates(["v"]), "texts")
     rooted = components(near_links(texts, scratch, crowd), scratch)
     rooted = scratch.write(rooted.select(F.col("node").alias("v"), "root"), "roots")
-    scratch.drop("texts", "sizes", "met", "words")
+    scratch.drop("texts", "sizes")
+    crossing = Scratch(docs.sparkSession, "crossing")
+    joined = components(crossing_links(scratch.read("met"), scratch.read("words"), rooted, crossing, crowd), crossing)
+    names = scratch.write(
+        rooted.select("v").union(joined.select("node")).distinct().join(rooted, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
+        .join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+        .select("v", F.coalesce("last", "root").alias("root")),
+        "names",
+    )
+    scratch.drop("met", "words", "roots")
+    crossing.drop("left")
+    rooted = names
     return each.select("doc_id", "v").join(rooted, "v", "left").select("doc_id", "v", F.coalesce("root", "v").alias("root"))
 
 

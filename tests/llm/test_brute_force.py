@@ -300,6 +300,25 @@ def test_op6_near_copies_by_five_words(spark, prose, crowd):
     assert len(set(root.values())) == 12 and all(root[i] == root[i // 100 * 100] for i in root)
 
 
+@pytest.mark.parametrize("crowd", [1, 3, 10, 256])
+def test_op6_near_copies_under_crowded_keys(spark, prose, crowd):
+    """The groups are the same however few members make a key crowded: chains of edits, all from one text."""
+    rng = random.Random(12)
+    texts, words = {}, prose(rng, 200).split()
+    for k in range(60):  # neighbours are near copies, ends of a chain are not; every fifth is a side branch
+        nxt = edited(rng, words, 4 if k % 5 else 9).split()
+        texts[k] = " ".join(nxt)
+        words = nxt if k % 5 else words
+    texts |= {100 + k: edited(rng, texts[0].split(), 6) for k in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    root = {r["doc_id"]: r["root"] for r in simhash.near_groups(df, crowd).collect()}
+    want = plain_near_groups(texts)
+    assert 1 < len(set(want.values())) < len(texts)
+    assert {tuple(sorted(i for i in want if root[i] == r)) for r in root.values()} == {
+        tuple(sorted(i for i in want if want[i] == r)) for r in want.values()
+    }
+
+
 def test_op6_stage_keeps_texts_that_share_an_id(spark, prose):
     rng = random.Random(9)
     a, b = prose(rng, 50), prose(rng, 50)
