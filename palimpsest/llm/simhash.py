@@ -183,13 +183,11 @@ def block_choice():
     return (chosen[:, :, None] * KEY_WIDTH + np.arange(KEY_WIDTH)).reshape(KEYS, -1)
 
 
-def with_wide(docs: DataFrame, doc: str, vertex: str, wide: str, keys: str) -> DataFrame:
-    """``docs`` reduced to its id, a hash of its lower-cased words, the wide fingerprint and its block keys."""
+def with_wide(docs: DataFrame, doc: str, vertex: str, wide: str) -> DataFrame:
+    """``docs`` reduced to its id, a hash of its lower-cased words and the wide fingerprint."""
     rows = docs.select(F.col("doc_id").cast("long").alias(doc), "text")
-    choice = block_choice()
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
         import xxhash
 
@@ -198,22 +196,36 @@ def with_wide(docs: DataFrame, doc: str, vertex: str, wide: str, keys: str) -> D
             node = [xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) - (1 << 63) for t in texts]
             known = {v: t for v, t in zip(node, texts)}  # copies in a batch are taken once
             known = {v: _wide(t) for v, t in known.items()}
-            out = [known[v] for v in node]
-            bits = np.unpackbits(np.frombuffer(b"".join(out), np.uint8).reshape(len(out), -1), axis=1)
-            scale = 1 << np.arange(choice.shape[1], dtype=np.int64)
-            own = np.stack([bits[:, c] @ scale + (k << choice.shape[1]) for k, c in enumerate(choice)], axis=1) if len(out) else np.zeros((0, KEYS), np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * KEYS), pa.array(own.astype(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(node, pa.int64()), pa.array(out, pa.binary()), lists], names=[doc, vertex, wide, keys]
-            )
+            out = pa.array([known[v] for v in node], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), out], names=[doc, vertex, wide])
+
+    return rows.mapInArrow(run, f"{doc} long, {vertex} long, {wide} binary")
+
+
+def block_keys(texts: DataFrame) -> DataFrame:
+    """(v, k): the KEYS block keys of every text of ``texts``, which has ``v`` and ``wide``."""
+    choice = block_choice()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        scale = 1 << np.arange(choice.shape[1], dtype=np.int64)
+        for batch in batches:
+            for low in range(0, len(batch), 1000):
+                part = batch.slice(low, 1000)
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(part), -1), axis=1)
+                own = np.stack([bits[:, c] @ scale + (k << choice.shape[1]) for k, c in enumerate(choice)], axis=1)
+                nodes = np.repeat(part.column(0).to_numpy(), KEYS)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(own.ravel())], names=["v", "k"])
 
-    return rows.mapInArrow(run, f"{doc} long, {vertex} long, {wide} binary, {keys} array<long>")
+    return texts.select("v", "wide").mapInArrow(run, "v long, k long")
 
 
 def near_links(each: DataFrame, scratch: Scratch, crowd: int = NEAR_CROWD) -> DataFrame:
     """Edges (a, b) between texts whose wide fingerprints differ in NEAR_BITS or fewer bits.
 
-    ``each`` has distinct ``v`` with ``wide`` and ``keys``.  Under one key all are
+    ``each`` has distinct ``v`` with ``wide``.  Under one key all are
     compared, and those that are connected give edges to the smallest of them:
     a group has edges in proportion to its members, not to their pairs.  A key
     with more than ``crowd`` members is dealt into tiles of that size, and every
@@ -221,7 +233,7 @@ def near_links(each: DataFrame, scratch: Scratch, crowd: int = NEAR_CROWD) -> Da
     most near copies in different tiles meet; ``crossing_links`` finds the rest
     in the tables ``met`` and ``words`` that are left in ``scratch``.
     """
-    rows = each.select("v", F.explode("keys").alias("k"))
+    rows = block_keys(each)
     sizes = scratch.write(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
     words = [F.conv(F.hex(F.substring("wide", 1 + 8 * i, 8)), 16, -10).cast("long") for i in range(WIDE // 64)]
     met = scratch.write(rows.join(sizes, "k"), "met")
@@ -335,8 +347,8 @@ def near_groups(docs: DataFrame, crowd: int = NEAR_CROWD) -> DataFrame:
     without one, each keep their row.  An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    each = scratch.write(with_wide(docs, "doc_id", "v", "wide", "keys"), "each")
-    texts = scratch.write(each.select("v", "wide", "keys").dropDuplicates(["v"]), "texts")
+    each = scratch.write(with_wide(docs, "doc_id", "v", "wide"), "each")
+    texts = scratch.write(each.select("v", "wide").dropDuplicates(["v"]), "texts")
     rooted = components(near_links(texts, scratch, crowd), scratch)
     rooted = scratch.write(rooted.select(F.col("node").alias("v"), "root"), "roots")
     scratch.drop("texts", "sizes")

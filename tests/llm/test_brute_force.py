@@ -300,7 +300,7 @@ def test_op6_near_copies_by_five_words(spark, prose, crowd):
     assert len(set(root.values())) == 12 and all(root[i] == root[i // 100 * 100] for i in root)
 
 
-@pytest.mark.parametrize("crowd", [1, 3, 10, 256])
+@pytest.mark.parametrize("crowd", [3, 256])
 def test_op6_near_copies_under_crowded_keys(spark, prose, crowd):
     """The groups are the same however few members make a key crowded: chains of edits, all from one text."""
     rng = random.Random(12)
