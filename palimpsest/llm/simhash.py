@@ -30,7 +30,7 @@ FIRST_DOC = -(1 << 63)
 #: The near-copy groups of a corpus: shingle words, similarity, bits of the fingerprint.
 NEAR_SHINGLE, NEAR, WIDE = 5, 0.8, 512
 #: Keys, blocks in a key and bits of a block; members of a key that are compared with each other.
-KEYS, KEY_BLOCKS, KEY_WIDTH, NEAR_CROWD = 128, 7, 4, 256
+KEYS, KEY_BLOCKS, KEY_WIDTH, NEAR_CROWD = 256, 7, 4, 256
 #: Bits that differ at that similarity, acos(2 NEAR / (1 + NEAR)) / pi of all, and one standard error more.
 NEAR_BITS = 86
 #: Up to so many fingerprints under one key are compared with each other.
